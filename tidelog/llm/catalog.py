@@ -12,6 +12,7 @@ from tidelog.llm.bpe import bpe_encode_decode
 from tidelog.llm.chat import format_conversations, loss_text
 from tidelog.llm.common import table
 from tidelog.llm.maxscore import search
+from tidelog.llm.packing import pack, token_pieces
 from tidelog.llm.sharding import shard_documents
 
 
@@ -81,11 +82,17 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 """
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
+    return pack(pieces, 1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encoding": op1_bpe_encoding,
     "op2_sharding": op2_sharding,
     "op7_topk_search": op7_topk_search,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
