@@ -14,6 +14,7 @@ from tidelog.llm.common import table
 from tidelog.llm.maxscore import search
 from tidelog.llm.packing import pack, token_pieces
 from tidelog.llm.sharding import shard_documents
+from tidelog.llm.tokenfile import read_token_files, write_token_files
 
 
 def op1_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, uri = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+    return read_token_files(shards, uri).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -90,6 +96,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encoding": op1_bpe_encoding,
     "op2_sharding": op2_sharding,
+    "op5_token_files": op5_token_files,
     "op7_topk_search": op7_topk_search,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_best_fit_packing": op10_best_fit_packing,
