@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import bpe_encode_decode
@@ -13,6 +13,8 @@ from tidelog.llm.chat import format_conversations, loss_text
 from tidelog.llm.common import table
 from tidelog.llm.maxscore import search
 from tidelog.llm.packing import pack, token_pieces
+from tidelog.llm.quality import judge_documents, train
+from tidelog.llm.secrets import BASE, scan_secrets
 from tidelog.llm.sharding import shard_documents
 from tidelog.llm.tokenfile import read_token_files, write_token_files
 
@@ -32,6 +34,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return judge_documents(docs, *train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, uri = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
     return read_token_files(shards, uri).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -88,6 +95,16 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 """
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shown(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS BIGINT)").alias(f"n_{kind}") for kind in BASE]
+    base = shown(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024, 2)
     return pack(pieces, 1024)
@@ -96,9 +113,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encoding": op1_bpe_encoding,
     "op2_sharding": op2_sharding,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
     "op7_topk_search": op7_topk_search,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_secret_scan": op9_secret_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
