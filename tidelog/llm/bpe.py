@@ -3,7 +3,7 @@
 The symbols of many words lie in one flat array. Each round finds, for every word, its pair of lowest rank and merges
 all places of that pair; ranks come from a binary search over the sorted keys of all merge pairs, and only pairs beside
 a merge are looked up again. Words that have no mergeable pair leave the array. Texts are cut at spaces into units;
-a bounded cache per worker keeps the ids of units seen before, so a round only sees new ones.
+a bounded cache per worker keeps the ids of units seen before, by 64-bit hashes, so a round only sees new ones.
 
 Defined cases: a null text encodes as an empty one; empty texts have no ids; a special token's string inside a text
 becomes that token's id; ids that aren't valid UTF-8 together decode with replacement characters; repeated rows are
@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,19 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidelog.llm.common import text_chunks
+from tidelog.llm.spans import IdCache, ranges
 
 #: The pre-tokenizer pattern of the byte-level vocabulary files.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_UNITS = 400_000
-SPACES = re.compile(r" \s")
+#: Ids that each cache of a worker holds, about.
+CACHE_IDS = 6_000_000
+#: White space that units seldom hold; it parts units that go through the pattern together.
+BREAK = 0x0B
+#: Bytes that begin white space, or may.
+MAY_BE_SPACE = np.zeros(256, bool)
+MAY_BE_SPACE[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+ASCII_SPACE = np.zeros(256, bool)
+ASCII_SPACE[[*range(9, 14), *range(28, 33)]] = True
 NO_RANK = np.iinfo(np.int32).max
 SHIFT = 20
 
@@ -116,47 +123,6 @@ class MergeTable:
         return flat[ranges(starts, lengths[order])], lengths[order]
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0]+1, ... for lengths[0] places, then from starts[1], and so on."""
-    shift = starts - (np.cumsum(lengths) - lengths)
-    return np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
-
-
-class UnitCache:
-    """Ids of text units in one growing flat array; emptied between chunks once it holds more than `limit` units."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.empty(0, np.int32)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-
-    def add(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
-        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(lengths) - lengths]
-        self.lengths = np.r_[self.lengths, lengths]
-        self.ids = np.r_[self.ids, ids]
-
-    def places(self, units: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Where each unit's ids are; units that are new are encoded and added."""
-        at = np.fromiter(map(self.index.get, units, repeat(-1)), np.int64, len(units))
-        if len(new := np.flatnonzero(at < 0)):
-            fresh = [units[i] for i in new.tolist()]
-            distinct = [*dict.fromkeys(fresh)]
-            self.add(distinct, *encode(distinct))
-            at[new] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
-        return at
-
-    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the units at these places, and the number of ids of each."""
-        lengths = self.lengths[at]
-        return self.ids[ranges(self.starts[at], lengths)], lengths
-
-
 class ByteBPE:
     """Encodes and decodes with a byte-level BPE vocabulary file."""
 
@@ -166,57 +132,89 @@ class ByteBPE:
         vocab, characters = file["model"]["vocab"], byte_characters()
         self.table = MergeTable(vocab, file["model"]["merges"])
         self.byte_ids = np.array([vocab[c] for c in characters], np.int32)
-        self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
+        self.special_pattern = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         value = {c: b for b, c in enumerate(characters)}
-        tokens = {i: bytes(value[c] for c in s) if all(c in value for c in s) else s.encode() for s, i in [*vocab.items(), *self.special.items()]}
+        tokens = {i: bytes(value[c] for c in s) if all(c in value for c in s) else s.encode() for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         listed = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.token_lengths = np.array([len(t) for t in listed], np.int64)
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.token_bytes = np.frombuffer(b"".join(listed), np.uint8)
         self.pattern = regex.compile(PIECES)
-        self.pieces = UnitCache(CACHE_UNITS)
-        self.units = UnitCache(CACHE_UNITS)
-
-    def _merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-        return self.table.merge(self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(r) for r in raw]))
-
-    def _by_pattern(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.pattern.findall(t) for t in texts]
-        ids, lengths = self.pieces.gather(self.pieces.places([p for x in found for p in x], self._merge))
-        ends = np.cumsum(np.r_[0, lengths])
-        cuts = np.cumsum([0, *map(len, found)])
-        return ids, np.diff(ends[cuts])
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Without special tokens. A space and what follows up to the next space is a unit: the pattern cuts before each
-        space, unless white space or nothing follows it. Texts with such places go by the pattern alone."""
-        odd = [bool(SPACES.search(t)) for t in texts]
-        split = [[t] if o else t.split(" ") for t, o in zip(texts, odd, strict=True)]
-        at = self.units.places([u for s in split for u in s[1:]], lambda units: self._by_pattern([" " + u for u in units]))
+        self.pieces, self.units = IdCache(CACHE_IDS), IdCache(CACHE_IDS)
+
+    def _pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and lengths of units, by the pattern.
+
+        Units go through the pattern together, with BREAK between them, unless white space at their ends could join it."""
+        before = [raw[np.maximum(ends - k, starts)] for k in (1, 2, 3)]
+        odd = ASCII_SPACE[before[0]] | (before[1] == 0xC2) | (before[2] >= 0xE1) & (before[2] <= 0xE3)
+        odd |= MAY_BE_SPACE[raw[starts]] & ((raw[starts] != 32) | (ends - starts == 1) | MAY_BE_SPACE[raw[np.minimum(starts + 1, len(raw) - 1)]])
+        inside = np.r_[0, np.cumsum(raw == BREAK)]
+        odd |= inside[ends] > inside[starts]
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        sizes = (ends - starts)[plain]
+        text = np.insert(raw[ranges(starts[plain], sizes)], np.cumsum(sizes), BREAK)
+        found = self.pattern.findall(text.tobytes().decode())
+        counts = np.diff(np.r_[-1, np.flatnonzero(self._is_break(text, found))]) - 1
+        pieces, at_break = [text], [counts]
+        for k in rest.tolist():
+            unit = raw[starts[k] : ends[k]]
+            own = self.pattern.findall(unit.tobytes().decode())
+            found += own
+            pieces.append(unit)
+            at_break.append([len(own)])
+        text, counts = np.concatenate(pieces), np.concatenate(at_break).astype(np.int64)
+        piece_starts, piece_ends = self._piece_bounds(text, found)
+        if len(plain):
+            real = np.ones(len(found), bool)
+            real[np.cumsum(counts[: len(plain)]) + np.arange(len(plain))] = False
+            piece_starts, piece_ends = piece_starts[real], piece_ends[real]
+        at = self.pieces.places(text, piece_starts, piece_ends, lambda a, b: self.table.merge(self.byte_ids[text[ranges(a, b - a)]], b - a))
+        ids, lengths = self.pieces.gather(at)
+        totals = np.diff(np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(counts)]])
+        order = np.r_[plain, rest]
+        begins, sizes = np.empty((2, len(order)), np.int64)
+        begins[order], sizes[order] = np.cumsum(totals) - totals, totals
+        return ids[ranges(begins, sizes)], sizes
+
+    @staticmethod
+    def _piece_bounds(text: np.ndarray, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Byte bounds of pieces that make up a text."""
+        chars = np.r_[np.flatnonzero((text & 0xC0) != 0x80), len(text)]
+        bounds = chars[np.cumsum(np.r_[0, np.fromiter(map(len, found), np.int64, len(found))])]
+        return bounds[:-1], bounds[1:]
+
+    def _is_break(self, text: np.ndarray, found: list[str]) -> np.ndarray:
+        starts, _ = self._piece_bounds(text, found)
+        return text[starts] == BREAK
+
+    def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Without special tokens. The pattern always begins a piece at a space before what isn't white space, and what
+        stands before it doesn't depend on what follows; so texts are cut there into units."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        joined = b"".join(texts)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(joined, np.uint8)
+        doc_starts = np.cumsum(sizes) - sizes
+        cut = np.zeros(len(raw), bool)
+        cut[:-1] = (raw[:-1] == 32) & ~MAY_BE_SPACE[raw[1:]]
+        cut[doc_starts[1:][doc_starts[1:] > 0] - 1] = False  # what follows the last space is another text
+        cut[doc_starts[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        at = self.units.places(raw, starts, np.r_[starts[1:], len(raw)], lambda a, b: self._pieces(raw, a, b))
         ids, lengths = self.units.gather(at)
         ends = np.cumsum(np.r_[0, lengths])
-        heads, head_lengths = self._by_pattern([s[0] for s in split])
-        counts = np.array([len(s) - 1 for s in split], np.int64)
-        tail_lengths = np.diff(ends[np.cumsum(np.r_[0, counts])])
-        # each text: its head, then its units
-        pool = np.r_[heads, ids]
-        starts = np.c_[np.cumsum(head_lengths) - head_lengths, len(heads) + np.cumsum(tail_lengths) - tail_lengths].ravel()
-        both = np.c_[head_lengths, tail_lengths].ravel()
-        return pool[ranges(starts, both)], head_lengths + tail_lengths
-
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, and the number of ids of each."""
-        for cache in (self.units, self.pieces):
-            if len(cache.index) > cache.limit:
-                cache.clear()
-        if not texts:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
-        if not any(s in t for s in self.special for t in texts):
+        bounds = ends[np.searchsorted(starts, np.r_[doc_starts, len(raw)])]
+        return ids, np.diff(bounds)
+
+    def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts (in UTF-8), and the number of ids of each."""
+        if not texts or not any(s in t for s in self.special for t in texts):
             return self._plain(texts)
         parts = [self.special_pattern.split(t) for t in texts]
-        ids, lengths = self._plain([p if k % 2 == 0 else "" for x in parts for k, p in enumerate(x)])
+        ids, lengths = self._plain([p if k % 2 == 0 else b"" for x in parts for k, p in enumerate(x)])
         marks = [self.special[p] if k % 2 else -1 for x in parts for k, p in enumerate(x)]
         ends = np.cumsum(lengths)
         places = np.array([k for k, m in enumerate(marks) if m >= 0], np.int64)
@@ -254,7 +252,7 @@ def bpe_encode_decode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(vocab_path)
         for batch in text_chunks(batches, text_col):
-            ids, lengths = codec.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
+            ids, lengths = codec.encode_batch([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])
             columns = [batch.column(id_col), binary_column(ids.astype("<u4"), lengths)]
             if decode:
                 columns.append(pa.array(codec.decode_batch(ids, lengths), pa.binary()).cast(pa.string()))

@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = byte_bpe(vocab_path)
         for batch in text_chunks(batches, text_col):
-            ids, lengths = codec.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
+            ids, lengths = codec.encode_batch([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])
             ids = np.insert(ids, np.cumsum(lengths), end_id).astype("<u4")
             lengths = lengths + 1
             n = -(-lengths // capacity)
