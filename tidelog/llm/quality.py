@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import text_chunks
-from tidelog.llm.words import WordHashes, window_hashes
+from tidelog.llm.spans import span_hashes, words_of
+from tidelog.llm.words import window_hashes
 
 #: Labelled documents that the field is fitted on, at most.
 SAMPLE_DOCS = 4000
@@ -54,7 +55,7 @@ CLASSES = {
 class Measured:
     """Base statistics of texts, and the features of their lines."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes):
+    def __init__(self, texts: list[bytes]):
         n = len(texts)
         joined = b"\n".join(texts)
         raw = np.frombuffer(joined, np.uint8)
@@ -88,7 +89,7 @@ class Measured:
             return np.bincount(line_doc, values, n).astype(np.int64)
 
         self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines = per_doc(words), per_doc(word_chars), per_doc(count["symbol"]), per_doc(repeated)
-        self.n_repeat_words = repeated_words([w for t in texts for w in t.split()], self.n_words, hashes)
+        self.n_repeat_words = repeated_words(span_hashes(raw, *words_of(raw)), self.n_words)
         self.base_failed = (self.n_words < 10) | (100 * self.n_repeat_words > 20 * self.n_words)
         keep = np.flatnonzero(has_word)
         last = raw[np.maximum(ends - 1, 0)][keep] if len(raw) else np.empty(0, np.uint8)
@@ -104,10 +105,10 @@ class Measured:
         self.line_counts = np.bincount(self.line_doc, minlength=n)
 
 
-def repeated_words(words: list[bytes], counts: np.ndarray, hashes: WordHashes, width: int = 5) -> np.ndarray:
-    """Per text: words in windows of `width` words that its text has twice or more."""
+def repeated_words(words: np.ndarray, counts: np.ndarray, width: int = 5) -> np.ndarray:
+    """Per text: words in windows of `width` words that its text has twice or more; words: hashes of all texts' words."""
     doc = np.repeat(np.arange(len(counts)), counts)
-    windows, whole = window_hashes(hashes.of(words), counts, width)
+    windows, whole = window_hashes(words, counts, width)
     at = np.flatnonzero(whole)
     key = windows[at] ^ (doc[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     order = np.argsort(key, kind="stable")
@@ -207,9 +208,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in text_chunks(batches, text_col):
-            measured = Measured([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()], hashes)
+            measured = Measured([t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()])
             cuts = np.cumsum(np.r_[0, measured.line_counts])
             flat = [measured.features[a:b].astype(np.int8).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), batch.column("quality").cast(pa.int64()), pa.array(flat, pa.binary())], ["id", "quality", "features"])
@@ -229,17 +229,16 @@ def judge_documents(docs: DataFrame, weights: np.ndarray, chain: np.ndarray, kee
     names = [id_col, *(x.split()[0] for x in BASE_TYPES.split(", ")), "base_failed", "content_share", "kept"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in text_chunks(batches, text_col):
-            measured, share, kept = judged(batch.column(text_col).cast(pa.binary()).to_pylist(), hashes, weights, chain, keep_share)
+            measured, share, kept = judged(batch.column(text_col).cast(pa.binary()).to_pylist(), weights, chain, keep_share)
             base = [measured.n_words, measured.word_chars, measured.n_symbols, measured.n_dup_lines, measured.n_repeat_words, measured.base_failed]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *map(pa.array, (*base, share, kept))], names)
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {BASE_TYPES}, base_failed boolean, content_share double, kept boolean")
 
 
-def judged(texts: list[bytes | None], hashes: WordHashes, weights: np.ndarray, chain: np.ndarray, keep_share: float) -> tuple[Measured, np.ndarray, np.ndarray]:
-    measured = Measured([t or b"" for t in texts], hashes)
+def judged(texts: list[bytes | None], weights: np.ndarray, chain: np.ndarray, keep_share: float) -> tuple[Measured, np.ndarray, np.ndarray]:
+    measured = Measured([t or b"" for t in texts])
     content = viterbi(measured.features @ weights, measured.line_counts, chain)
     chars = np.bincount(measured.line_doc, measured.line_chars * content, len(texts))
     share = chars / np.maximum(measured.word_chars, 1)
@@ -250,8 +249,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, chain: np.ndarray, keep_shar
     """The rows whose text is kept, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in text_chunks(batches, text_col):
-            yield batch.filter(pa.array(judged(batch.column(text_col).cast(pa.binary()).to_pylist(), hashes, weights, chain, keep_share)[2]))
+            yield batch.filter(pa.array(judged(batch.column(text_col).cast(pa.binary()).to_pylist(), weights, chain, keep_share)[2]))
 
     return docs.mapInArrow(run, docs.schema)

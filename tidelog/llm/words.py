@@ -1,41 +1,10 @@
-"""Words, word hashes and lines of whole texts, for many texts at once."""
+"""Hashes of windows of words, for many texts at once."""
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
-import xxhash
-
-CACHE_WORDS = 600_000
-
-
-class WordHashes:
-    """64-bit hashes of words, the same in every process; a bounded cache keeps those seen before."""
-
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.limit = limit
-        self.index: dict[bytes, int] = {}
-        self.values = np.empty(0, np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.limit:
-            self.index, self.values = {}, self.values[:0]
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(at < 0)):
-            fresh = [words[i] for i in new.tolist()]
-            distinct = [*dict.fromkeys(fresh)]
-            self.index.update(zip(distinct, range(len(self.index), len(self.index) + len(distinct)), strict=True))
-            self.values = np.r_[self.values, np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))]
-            at[new] = np.fromiter(map(self.index.__getitem__, fresh), np.int64, len(fresh))
-        return self.values[at]
-
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values (a known finaliser)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+from tidelog.llm.spans import mixed
 
 
 def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
