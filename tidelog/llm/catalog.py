@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.bpe import bpe_encode_decode
 from tidelog.llm.chat import format_conversations, loss_text
 from tidelog.llm.common import table
+from tidelog.llm.html_extract import extract_pages
 from tidelog.llm.maxscore import search
 from tidelog.llm.packing import pack, token_pieces
 from tidelog.llm.quality import judge_documents, train
@@ -34,6 +35,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge_documents(docs, *train(docs, table(spark, sf_dir, "labels")))
@@ -113,6 +118,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_encoding": op1_bpe_encoding,
     "op2_sharding": op2_sharding,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
     "op7_topk_search": op7_topk_search,
