@@ -13,6 +13,7 @@ from tidelog.llm.chat import format_conversations, loss_text
 from tidelog.llm.common import table
 from tidelog.llm.html_extract import extract_pages
 from tidelog.llm.maxscore import search
+from tidelog.llm.ngram_join import similar_documents
 from tidelog.llm.packing import pack, token_pieces
 from tidelog.llm.quality import judge_documents, train
 from tidelog.llm.secrets import BASE, scan_secrets
@@ -49,6 +50,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(shards, uri).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), 5, 80)
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_files": op5_token_files,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_topk_search": op7_topk_search,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_secret_scan": op9_secret_scan,
