@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tidelog.llm.common import text_chunks
-from tidelog.llm.spans import IdCache, ranges
+from tidelog.llm.spans import IdCache, mark_cuts, ranges
 
 #: The pre-tokenizer pattern of the byte-level vocabulary files.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -191,7 +191,7 @@ class ByteBPE:
 
     def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Without special tokens. The pattern always begins a piece at a space before what isn't white space, and what
-        stands before it doesn't depend on what follows; so texts are cut there into units."""
+        stands before it doesn't depend on what follows; so texts are cut there, and before marks after a letter, into units."""
         sizes = np.array([len(t) for t in texts], np.int64)
         joined = b"".join(texts)
         if not joined:
@@ -201,6 +201,7 @@ class ByteBPE:
         cut = np.zeros(len(raw), bool)
         cut[:-1] = (raw[:-1] == 32) & ~MAY_BE_SPACE[raw[1:]]
         cut[doc_starts[1:][doc_starts[1:] > 0] - 1] = False  # what follows the last space is another text
+        cut[mark_cuts(raw)] = True
         cut[doc_starts[sizes > 0]] = True
         starts = np.flatnonzero(cut)
         at = self.units.places(raw, starts, np.r_[starts[1:], len(raw)], lambda a, b: self._pieces(raw, a, b))

@@ -23,7 +23,7 @@ class Powers:
 
     def reach(self, n: int) -> None:
         if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+            size = n + (n >> 3)
             for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
                 factors = np.full(size, np.uint64(base))
                 factors[0] = 1
@@ -33,6 +33,10 @@ class Powers:
 POWERS = Powers()
 WHITE = np.zeros(256, bool)
 WHITE[[*range(9, 14), 32]] = True
+LETTER, MARK = np.zeros((2, 256), bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Not the apostrophe, which contractions hold, nor what special tokens hold.
+MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^`{}~")] = True
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 
 
@@ -52,6 +56,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
 
 
+def mark_cuts(raw: np.ndarray) -> np.ndarray:
+    """Places of ASCII marks right after an ASCII letter: the pre-tokenizers' patterns always begin a piece there."""
+    return np.flatnonzero(LETTER[raw[:-1]] & MARK[raw[1:]]) + 1
+
+
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the stretches without ASCII white space."""
     inside = np.r_[False, ~WHITE[raw], False]

@@ -12,12 +12,11 @@ block counts of each plane.
 
 Defined cases: a null text counts as empty (one end id); an empty table makes no files and no rows; null ids come
 first; rows of one id go by their text's checksum, repeated rows are written each; other columns are ignored, whatever
-their names. A text with a special token's string or a control character goes through the library whole.
+their names. A special token's string inside a text becomes that token's id.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from bisect import bisect_right
@@ -31,22 +30,26 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe import CACHE_UNITS, UnitCache, binary_column, ranges
+from tidelog.llm.bpe import CACHE_IDS, binary_column
 from tidelog.llm.common import materialise, shared_dir, text_chunks
+from tidelog.llm.spans import IdCache, mark_cuts, words_of
 
 MAGIC = b"TDWM0001"
 BLOCK = 512
+#: Units that the library encodes in one call.
+CALL_UNITS = 1000
 #: Text bytes of a shard, and sample keys of each.
 SHARD_BYTES, SAMPLES = 8 << 20, 32
-#: Characters that Python's split() takes for white space and the library doesn't.
-ODD = re.compile("[\x1c-\x1f]")
+#: Rows of shard offsets that may be broadcast; more are joined by a shuffle.
+BROADCAST_SHARDS = 100_000
 
 
 class WordEncoder:
     """The tokenizers library behind a bounded cache of white-space separated units.
 
-    The vocabulary drops white space, so a unit has the same ids anywhere. New units are encoded by the library in one
-    call, with a special token between them."""
+    The vocabulary drops white space, and nothing joins across it or from a letter to a mark, so a unit has the same ids
+    anywhere. New units are
+    encoded by the library, many in one call with a special token between them; those that hold one go alone."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,33 +57,45 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.mark, self.mark_id = max(self.special.items(), key=lambda x: x[1])
-        self.units = UnitCache(CACHE_UNITS)
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
-
-    def _fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self._whole(self.mark.join(units))
-        marks = np.flatnonzero(ids == self.mark_id)
-        return np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1
-
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, and the number of ids of each."""
-        if len(self.units.index) > self.units.limit:
-            self.units.clear()
-        whole = {k: self._whole(t) for k, t in enumerate(texts) if any(s in t for s in self.special) or ODD.search(t)}
-        split = [[] if k in whole else t.split() for k, t in enumerate(texts)]
-        flat, sizes = self.units.gather(self.units.places([u for s in split for u in s], self._fresh))
-        ends = np.cumsum(np.r_[0, sizes])
-        lengths = np.diff(ends[np.cumsum([0, *map(len, split)])])
-        if whole:
-            at = np.cumsum(lengths) - lengths
-            flat = np.insert(flat, np.repeat([at[k] for k in whole], [len(v) for v in whole.values()]).astype(np.int64), np.concatenate([*whole.values()]))
-            for k, v in whole.items():
-                lengths[k] = len(v)
-        return flat, lengths
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = max(special.items(), key=lambda x: x[1])
+        self.special = [t.encode() for t in special]
+        self.units = IdCache(CACHE_IDS)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        together = [k for k, u in enumerate(units) if not (b"<" in u and any(s in u for s in self.special))]
+        lengths, flat = np.zeros(len(units), np.int64), [np.empty(0, np.int32)]
+        for at in range(0, len(together), CALL_UNITS):
+            some = together[at : at + CALL_UNITS]
+            ids = self._whole([self.mark.join(units[k].decode() for k in some)])[0]
+            marks = np.flatnonzero(ids == self.mark_id)
+            lengths[some] = np.diff(np.r_[-1, marks, len(ids)]) - 1
+            flat.append(np.delete(ids, marks))
+        ids = np.concatenate(flat)
+        if rest := sorted({*range(len(units))} - {*together}):
+            alone = dict(zip(rest, self._whole([units[k].decode() for k in rest]), strict=True))
+            at = np.cumsum(lengths)
+            ids = np.insert(ids, np.repeat(at[rest], [len(v) for v in alone.values()]), np.concatenate([*alone.values()]))
+            lengths[rest] = [len(v) for v in alone.values()]
+        return ids, lengths
+
+    def encode_batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts (in UTF-8), and the number of ids of each."""
+        joined = b" ".join(texts)
+        raw = np.frombuffer(joined, np.uint8)
+        begins, stops = np.zeros((2, len(raw) + 1), bool)
+        for marked, places in zip((begins, stops), words_of(raw), strict=True):
+            marked[places] = marked[mark_cuts(raw)] = True
+        starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
+        if not len(starts):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        ids, lengths = self.units.gather(self.units.places(raw, starts, ends, lambda a, b: self._fresh(joined, a, b)))
+        text_ends = np.cumsum([len(t) + 1 for t in texts])
+        return ids, np.diff(np.r_[0, np.cumsum(lengths)][np.searchsorted(starts, np.r_[0, text_ends])])
 
 
 @lru_cache(maxsize=2)
@@ -95,14 +110,16 @@ def write_wavelet(ids: np.ndarray, lengths: np.ndarray, names: list[int | None])
     row = ids.astype(np.uint16 if planes <= 16 else np.uint32)
     zeros, bits = [], []
     for b in range(planes - 1, -1, -1):
-        ones = ((row >> b) & 1).astype(bool)
+        ones = (row & row.dtype.type(1 << b)) != 0
         packed = np.packbits(ones, bitorder="little")
         packed = np.r_[packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8)]
         counts = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64)
-        low = row[~ones]
-        zeros.append(len(low))
+        at = np.flatnonzero(ones)
+        zeros.append(z := len(row) - len(at))
         bits += [packed.tobytes(), (np.cumsum(counts) - counts).astype("<i8").tobytes()]
-        row = np.concatenate([low, row[ones]])
+        sorted_row = np.empty_like(row)
+        sorted_row[:z], sorted_row[z:] = row[~ones], row[at]
+        row = sorted_row
     null = np.array([n is None for n in names])
     sections = [np.array([n or 0 for n in names], "<i8").tobytes(), null.tobytes(), lengths.astype("<i8").tobytes(), np.array(zeros, "<i8").tobytes(), *bits]
     codec = pa.Codec("zstd", 1)
@@ -202,8 +219,9 @@ class WaveletFile:
         for k in range(self.planes - 1, -1, -1):
             ones = np.unpackbits(self.plane(k)[0].view(np.uint8), count=self.n, bitorder="little").view(bool)
             z, up = int(self.zeros[k]), np.empty_like(row)
+            row[z:] |= row.dtype.type(1 << (self.planes - 1 - k))
             up[~ones] = row[:z]
-            up[ones] = row[z:] | row.dtype.type(1 << (self.planes - 1 - k))
+            up[np.flatnonzero(ones)] = row[z:]
             row = up
             self._open.pop(k)
         return row
@@ -236,9 +254,9 @@ def write_token_files(docs: DataFrame, vocab_path: str, end_id: int = 2, uri: st
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocab_path)
         for batch in text_chunks(batches, text_col):
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
             names = batch.column(id_col).cast(pa.int64())
-            crc = [zlib.crc32(t.encode()) for t in texts]
+            crc = [*map(zlib.crc32, texts)]
             shard = [bisect_right(splitters, (n is not None, n or 0, c)) for n, c in zip(names.to_pylist(), crc, strict=True)]
             ids, lengths = encoder.encode_batch(texts)
             ids = np.insert(ids, np.cumsum(lengths), end_id)
@@ -275,8 +293,10 @@ def read_token_files(shards: DataFrame, uri: str, id_col: str = "doc_id") -> Dat
                 cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), file.n_docs]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     lengths = file.lengths[a:b]
-                    flat = ids[ranges(starts[a : a + 1], lengths.sum(keepdims=True))]
+                    flat = ids[int(starts[a]) : int(starts[a] + lengths.sum())] if len(lengths) else ids[:0]
                     yield pa.RecordBatch.from_arrays([pa.array([batch.column("file")[i].as_py()] * (b - a)), pa.array(file.doc_ids[a:b], pa.int64()), pa.array(starts[a:b]), binary_column(flat, lengths)], ["file", id_col, "_in_file", "ids"])
 
     read = files.select(F.substring_index("path", "/", -1).alias("file"), "content").mapInArrow(run, f"file string, `{id_col}` long, _in_file long, ids binary")
+    if shards.count() <= BROADCAST_SHARDS:
+        offsets = F.broadcast(offsets)
     return read.join(offsets, "file").select(id_col, (F.col("_in_file") + F.col("_base")).alias("start"), "ids")
