@@ -1,6 +1,8 @@
 """All queries of the engine by name, and DuckDB SQL for the same rows."""
 
+from tidelog.functions import catalog as functions
+from tidelog.operators import relational
 from tidelog.plans import datalog
 
-QUERIES = {**datalog.QUERIES}
-SQL = {**datalog.SQL}
+QUERIES = {**datalog.QUERIES, **relational.QUERIES, **functions.QUERIES}
+SQL = {**datalog.SQL, **relational.SQL, **functions.SQL}
