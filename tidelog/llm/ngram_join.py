@@ -1,17 +1,19 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams, as a size-aware heavy-light join.
 
-Documents of equal sets are one class, and classes are joined. The order of tokens is global: by hash, with tokens of
-many documents last; which those are is counted over all documents, and the order only bears on cost.
+Documents of equal sets are one class, and classes are joined. The order of tokens is global: by hash, then those of
+many documents, the rarer first; how many have a token is counted over all documents, for half of the tokens, and the
+other half comes last. The order bears on cost, not on the result.
 
 Light sets (size up to a boundary) enumerate all subsets of the size that a pair of sizes must share; sets under one
 subset are linked without more ado. Heavy sets, and light ones close enough in size, scan inverted lists: a set enters
 the lists of its first tokens, as many as a similar set can't avoid, unless a token is in no other document. The boundary
 is where the estimated cost of enumerating plus scanning is least.
 
-An inverted list isn't expanded into all pairs. First each set is compared with one centre, the one that leads most of
-its lists; sets linked so form components. In lists that hold several components, further centres follow as long as they
-find links; then all remaining pairs from different components that fit by size and position are compared, so no link
-between different components is missed. Comparisons are exact on the whole sets.
+An inverted list isn't expanded into all pairs. First each set is compared with one centre, the heaviest set that leads
+most of its lists; sets linked so form components. Then only pairs from different components are left. Those of one
+centre's family are joined once more, heavy again, by the lists of what each set changes of the centre; others by the
+lists they share, if their first tokens share enough. No pair that can be a link between components is passed over, and
+comparisons are exact on the whole sets.
 
 Defined cases: a null text counts as empty; empty sets are linked with nothing; fewer words than n are one n-gram, the
 whole sequence; repeated rows and equal sets are one class; rows of one id are one document, linked if their texts differ;
@@ -28,7 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import binary_column
@@ -37,18 +39,24 @@ from tidelog.llm.components import components
 from tidelog.llm.spans import mixed, ranges, span_hashes, words_of
 from tidelog.llm.words import window_hashes
 
-#: Tokens are hashes of 63 bits. Those below 2^COUNTED_BITS are counted: a quarter, more than the first tokens of a set.
-TOKEN_BITS, COUNTED_BITS = 63, 61
+#: Tokens are hashes of 63 bits. Those below 2^COUNTED_BITS are counted: half, more than
+#: the first tokens of a set that isn't tiny. They are counted by their first COUNT_BYTES bytes.
+TOKEN_BITS, COUNTED_BITS, COUNT_BYTES = 63, 62, 6
 #: Bits of the map of counted tokens that two documents or more have; the map is broadcast.
 MAP_BITS = 27
 #: A counted token of more documents comes last in the order; so many of them at most, the most frequent.
-HOT, MOST_HOT = 32, 1_000_000
+HOT, MOST_HOT = 8, 4_000_000
 #: Text bytes for each bucket of the count, a power of two in number.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
 FLUSH_TOKENS = 2_000_000
 LARGEST_LIGHT = 16
+#: Percent of its first tokens that a set shares with the centre of its family, at least.
+FAMILY = 10
+ROOT_STEPS = 2
+LIST = ["token", "id", "n", "place", "end"]
 #: Candidate rows that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+CUT = np.uint64(COUNTED_BITS - 8 * COUNT_BYTES)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -97,20 +105,21 @@ def count_tokens(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[D
     map of shared tokens; and how many buckets these parts are."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bucket_bits = min(max(4, (size // BUCKET_BYTES).bit_length()), MOST_BUCKETS.bit_length() - 1)
-    buckets, shift = 1 << bucket_bits, np.uint64(COUNTED_BITS - bucket_bits)
+    buckets, shift = 1 << bucket_bits, np.uint64(COUNTED_BITS - bucket_bits) - CUT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         names = ["bucket", "id", "n", "low", "high", "tokens", "times"]
 
         def counted() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
+            tokens, times = np.unique(np.concatenate(held) >> CUT, return_counts=True)
             held.clear()
             bucket = (tokens >> shift).astype(np.int64)
+            packed = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :COUNT_BYTES])
             there, at = np.unique(bucket, return_index=True)
             sizes = np.diff(np.r_[at, len(tokens)])
             nulls = [pa.nulls(len(there), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *nulls, binary_column(tokens, sizes), binary_column(np.minimum(times, 65535).astype(np.uint16), sizes)], names)
+            return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *nulls, binary_column(packed.ravel(), sizes * COUNT_BYTES), binary_column(np.minimum(times, 255).astype(np.uint8), sizes)], names)
 
         for batch in text_chunks(batches, text_col):
             tokens, counts = token_sets(text_column(batch, text_col), n)
@@ -130,14 +139,17 @@ def count_tokens(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[D
     def gather(key: tuple, group: pa.Table) -> pa.Table:
         own = group.filter(pc.is_valid(group["n"]))
         packed = group.filter(pc.is_valid(group["tokens"]))
-        tokens = np.frombuffer(b"".join(packed["tokens"].to_pylist()), np.uint64)
-        times = np.frombuffer(b"".join(packed["times"].to_pylist()), np.uint16)
+        narrow = np.frombuffer(b"".join(packed["tokens"].to_pylist()), np.uint8).reshape(-1, COUNT_BYTES)
+        wide = np.zeros((len(narrow), 8), np.uint8)
+        wide[:, :COUNT_BYTES] = narrow
+        tokens = wide.view(np.uint64).ravel()
+        times = np.frombuffer(b"".join(packed["times"].to_pylist()), np.uint8)
         distinct, inverse = np.unique(tokens, return_inverse=True)
         times = np.bincount(inverse, times, len(distinct)).astype(np.int64)
         hot = np.flatnonzero(times > HOT)
         width = 1 << (MAP_BITS - bucket_bits)
         bits = np.zeros(width, bool)
-        bits[((distinct[times > 1] >> np.uint64(COUNTED_BITS - MAP_BITS)) % np.uint64(width)).astype(np.int64)] = True
+        bits[((distinct[times > 1] >> (np.uint64(COUNTED_BITS - MAP_BITS) - CUT)) % np.uint64(width)).astype(np.int64)] = True
         k, h, schema = own.num_rows, len(hot), facts_schema()
         rows = [
             [*(own[c].combine_chunks() for c in ("id", "n", "low", "high")), *(pa.nulls(k, schema.field(c).type) for c in ("hot", "times", "bucket", "bits"))],
@@ -169,36 +181,50 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) ->
     return min(range(LARGEST_LIGHT + 1), key=cost)
 
 
-def postings(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, boundary: int, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, low, n, the tokens whose lists it enters and its places there, and the subsets it enumerates, each
-    with the side of it that its size is."""
+def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shared: np.ndarray, boundary: int, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: id, low, n, where in the order its first tokens end, those whose lists it enters and its places there,
+    and the subsets it enumerates, each with the side of it that its size is."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((hot, shared))
+    tokens, times = hot
+    by_token = np.argsort(tokens)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((tokens, times))] = np.arange(len(tokens))
+    sent = spark.sparkContext.broadcast((tokens[by_token], rank[by_token], shared))
     least = -(-percent * (boundary + 1) // 100)  # a set this small can be like a heavy one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, shared = sent.value
+        hot, rank, shared = sent.value
         for batch in text_chunks(batches, text_col):
             tokens, counts = token_sets(text_column(batch, text_col), n)
             starts = np.cumsum(counts) - counts
             doc = np.repeat(np.arange(len(counts)), counts)
             size = counts[doc]
-            late = np.zeros(len(tokens), bool)
-            counted = np.flatnonzero(tokens < np.uint64(1 << COUNTED_BITS))
+            counted = tokens < np.uint64(1 << COUNTED_BITS)
+            # the order: counted tokens by hash, then hot ones by number, then those that aren't counted
+            key = tokens.astype(np.int64) + np.where(counted, np.iinfo(np.int64).min, 0)
+            early = counted
             if len(hot):
-                place = np.minimum(np.searchsorted(hot, tokens[counted]), len(hot) - 1)
-                late[counted] = hot[place] == tokens[counted]
-            # places in the order that has hot tokens last
-            lates = np.r_[0, np.cumsum(late)]
-            before = lates[:-1] - lates[starts[doc]] if len(doc) else lates[:0]
-            own = np.arange(len(tokens)) - starts[doc] - before
-            hots = lates[starts + counts] - lates[starts]
-            place = np.where(late, size - hots[doc] + before, own)
-            lists = (place < size - -(-percent * size // 100) + 1) & (size >= least)
-            bit = (tokens[counted] >> np.uint64(COUNTED_BITS - MAP_BITS)).astype(np.int64)
-            known = np.ones(len(tokens), bool)
-            known[counted] = (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
-            lists &= known
+                cut = tokens >> CUT
+                at = np.minimum(np.searchsorted(hot, cut), len(hot) - 1)
+                late = counted & (hot[at] == cut)
+                key = np.where(late, rank[at] << int(CUT) | (tokens & np.uint64((1 << int(CUT)) - 1)).astype(np.int64), key)
+                early = counted & ~late
+            earlies = np.r_[0, np.cumsum(early)]
+            n_early = earlies[starts + counts] - earlies[starts]
+            first = size - -(-percent * size // 100) + 1
+            place = np.where(early, earlies[:-1] - earlies[starts[doc]], size) if len(doc) else first
+            more = np.flatnonzero(~early & (n_early[doc] < first))
+            more = more[np.lexsort((key[more], doc[more]))]
+            if len(more):
+                begins = np.r_[0, np.flatnonzero(np.diff(doc[more])) + 1]
+                place[more] = n_early[doc[more]] + np.arange(len(more)) - np.repeat(begins, np.diff(np.r_[begins, len(more)]))
+            last = np.flatnonzero(place == first - 1)
+            end = np.zeros(len(counts), np.int64)
+            end[doc[last]] = key[last]
+            lists = (place < first) & (size >= least)
+            known = np.flatnonzero(lists & counted)
+            bit = (tokens[known] >> np.uint64(COUNTED_BITS - MAP_BITS)).astype(np.int64)
+            lists[known] = (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
             sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mixed(tokens))]
             low = (sums[starts + counts] - sums[starts]).view(np.int64)
             kept = np.bincount(doc[lists], minlength=len(counts))
@@ -211,15 +237,16 @@ def postings(docs: DataFrame, hot: np.ndarray, shared: np.ndarray, boundary: int
                     batch.column(id_col).cast(pa.int64()),
                     pa.array(low),
                     pa.array(counts.astype(np.int32)),
+                    pa.array(end),
                     pa.ListArray.from_arrays(offsets, pa.array(tokens[lists].astype(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(place[lists].astype(np.int32))),
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sides, pa.list_(pa.int32())),
                 ],
-                ["id", "low", "n", "tokens", "places", "subsets", "sides"],
+                ["id", "low", "n", "end", "tokens", "places", "subsets", "sides"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, low long, n int, tokens array<long>, places array<int>, subsets array<long>, sides array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, "id long, low long, n int, end long, tokens array<long>, places array<int>, subsets array<long>, sides array<int>")
 
 
 def subset_keys(tokens: np.ndarray, boundary: int, percent: int) -> tuple[list[int], list[int]]:
@@ -294,23 +321,100 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
     return materialise(a.join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long"))
 
 
-def fits(percent: int) -> Column:
-    """Whether postings x and y of one token can belong to similar sets: by their sizes, and by what can follow the token."""
-    s, t, i, j = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
-    return (100 * F.least(s, t) >= percent * F.greatest(s, t)) & ((1 + F.least(s - 1 - i, t - 1 - j)) * (100 + percent) >= percent * (s + t))
+def family_pairs(docs: DataFrame, families: DataFrame, classes: DataFrame, parts: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of one family from different components that may be similar. families: id and its centre, pivot.
+
+    Of a set only the difference from its pivot matters: two sets differ by the difference of these differences. Sets of
+    different components aren't both linked to the pivot, so one is further from it than links reach; then similar ones
+    must share about half of the nearer one's difference, and what few members share comes first in its order. So the
+    members of a family that changed in ways of their own don't meet, however many they are."""
+    lows = classes.select("id", "low")
+    count = families.count()
+    small = count <= BROADCAST_ROWS
+    own = set_rows(docs, families.join(lows, "id"), small, n, id_col, text_col).dropDuplicates(["id"])
+    pivots = families.select(F.col("pivot").alias("id")).distinct().join(lows, "id")
+    pivots = set_rows(docs, pivots, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            deltas, sizes, centre_sizes = [], [], []
+            for x, c in zip(batch.column("tokens").to_pylist(), batch.column("pivot_tokens").to_pylist(), strict=True):
+                mine, centre = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64)
+                deltas.append(np.setxor1d(mine, centre, assume_unique=True).astype(np.int64))
+                sizes.append(len(mine))
+                centre_sizes.append(len(centre))
+            offsets = pa.array(np.cumsum([0, *map(len, deltas)]).astype(np.int32))
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *deltas]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pivot"), pa.array(sizes, pa.int32()), pa.array(centre_sizes, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["id", "pivot", "s", "c", "delta"])
+
+    members = own.join(pivots, "pivot").select("id", "pivot", "tokens", "pivot_tokens").mapInArrow(run, "id long, pivot long, s int, c int, delta array<long>")
+    members = materialise(members.withColumn("d", F.size("delta")).join(parts.select("id", "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    tokens = members.select("pivot", "id", "s", "d", "part", (F.col("d") * (100 + percent) <= (100 - percent) * (F.col("s") + F.col("c"))).alias("near"), F.ceil(((100 + percent) * F.col("d") + (100 - percent) * (F.col("c") - F.col("s"))) / (2 * (100 + percent))).alias("half"), F.explode("delta").alias("token"))
+    shared = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    rare_first = Window.partitionBy("pivot", "id").orderBy("times", "token")
+    placed = tokens.join(shared, ["pivot", "token"]).withColumn("rank", F.row_number().over(rare_first))
+    # tokens of this member alone come before all others
+    alone = F.col("d") - F.count(F.lit(1)).over(Window.partitionBy("pivot", "id"))
+    placed = placed.withColumn("place", F.col("rank") + alone).withColumn("first", F.col("place") <= F.col("d") - F.greatest("half", F.lit(1)) + 1)
+    placed = materialise(placed.select("pivot", "token", "id", "s", "d", "part", "near", "place", "first"))
+    x, y = placed.where("first").alias("x"), placed.where("NOT near").alias("y")
+    apart = (F.col("x.part") != F.col("y.part")) & (100 * F.least("x.s", "y.s") >= percent * F.greatest("x.s", "y.s"))
+    # two far members meet where both have it first; a near one meets a far one anywhere
+    orders = F.col("x.near") | F.col("y.first") & (F.col("x.id") < F.col("y.id"))
+    # and early enough in both for what these two must share
+    share = F.greatest(F.ceil(((100 + percent) * (F.col("x.d") + F.col("y.d")) - (100 - percent) * (F.col("x.s") + F.col("y.s"))) / (2 * (100 + percent))), F.lit(1))
+    early = (F.col("x.place") <= F.col("x.d") - share + 1) & (F.col("y.place") <= F.col("y.d") - share + 1)
+    met = x.join(y, ["pivot", "token"]).where(apart & orders & early)
+    counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.count(F.lit(1)).alias("met"),
+        F.least(F.first("x.d") - F.max("x.place"), F.first("y.d") - F.max("y.place")).alias("after"),
+        (F.first("x.d") + F.first("y.d")).alias("apart"),
+        (F.first("x.s") + F.first("y.s")).alias("sizes"),
+    )
+    least_apart = F.col("apart") - 2 * (F.col("met") + F.col("after"))
+    return counted.where(least_apart * (100 + percent) <= (100 - percent) * F.col("sizes")).select("a", "b")
+
+
+def meetings(x: DataFrame, y: DataFrame, apart: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that meet in lists and may be similar, with how many tokens their first ones share.
+
+    x, y: postings (token, id, n, place, end); apart: which of them form pairs. All common tokens up to the end of either
+    set's first ones are among those counted. So no pair shares more than these and what can follow: the last of them, or
+    the earlier of the two ends."""
+    s, t = F.col("s"), F.col("t")
+    met = x.alias("x").join(y.alias("y"), "token").where(apart & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+    counted = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.count(F.lit(1)).alias("met"),
+        *(F.first(c).alias(name) for c, name in (("x.n", "s"), ("y.n", "t"), ("x.end", "s_end"), ("y.end", "t_end"))),
+        (F.least(F.first("x.n") - F.max("x.place"), F.first("y.n") - F.max("y.place")) - 1).alias("after"),
+    )
+    beyond = F.when(F.col("s_end") < F.col("t_end"), s).otherwise(t)
+    most = F.col("met") + F.least("after", F.ceil(beyond * percent / 100) - 1)
+    return counted.withColumn("may", most * (100 + percent) >= percent * (s + t)).select("a", "b", "s", "met", "may")
 
 
 def best_centres(lists: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Per set: the centre that leads most of the lists that both are in, if they fit. centres: token and centre, its size and place."""
-    met = lists.alias("x").join(centres.alias("y"), "token").where((F.col("x.id") != F.col("y.centre")) & fits(percent)).groupBy("x.id", "y.centre").count()
-    best = met.groupBy("id").agg(F.max_by("centre", F.struct(F.col("count"), -F.col("centre"))).alias("centre"))
-    return best.select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    """Per set: the centre that leads most of the lists that both are in; if they may be similar by these lists alone, and
+    if the set is of the centre's family, sharing at least FAMILY percent of its first tokens."""
+    led = lists.join(centres, "token")
+    met = meetings(led, lists, (F.col("x.centre") == F.col("y.id")) & (F.col("x.id") != F.col("y.id")), percent)
+    best = F.max_by(F.struct("b", "s", "met", "may"), F.struct(F.col("met"), -F.col("b"))).alias("best")
+    first = F.col("best.s") - F.ceil(F.col("best.s") * percent / 100) + 1
+    return met.groupBy("a").agg(best).select("a", "best.b", "best.may", (100 * F.col("best.met") >= FAMILY * first).alias("family"))
+
+
+def weighed(lists: DataFrame) -> DataFrame:
+    """Adds `weight` to postings: the lengths of all lists that their set is in. The text that others were made from has
+    the greatest, as its tokens are in most of them."""
+    lengths = lists.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
+    weights = lists.join(lengths, "token").groupBy("id").agg(F.sum("length").alias("weight"))
+    return lists.join(weights, "id").select(*LIST, "weight")
 
 
-def leaders(lists: DataFrame, by: str) -> DataFrame:
-    """Per token: the posting that is least by `by`, then id."""
-    first = F.min(F.struct(F.col(by).alias("by"), "id", "n", "place")).alias("first")
-    return lists.groupBy("token").agg(first).select("token", F.col("first.id").alias("centre"), F.col("first.n").alias("n"), F.col("first.place").alias("place"))
+def leaders(lists: DataFrame, *within: str) -> DataFrame:
+    """Per token (and what else is named): the id of most weight, of the least id among equals."""
+    first = F.min(F.struct((-F.col("weight")).alias("w"), "id")).alias("first")
+    return lists.groupBy("token", *within).agg(first).select("token", *within, F.col("first.id").alias("centre"))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_light: int | None = None) -> DataFrame:
@@ -321,7 +425,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     own = rows.where("id IS NOT NULL AND n > 0")
     classes = materialise(own.groupBy("low", "high", "n").agg(F.min("id").alias("id")).select("id", "n", "low", "high"))
     hot = facts.where("hot IS NOT NULL").select("hot", "times").orderBy(F.desc("times"), "hot").limit(MOST_HOT)
-    hot_tokens = np.sort(np.array([r[0] for r in hot.select("hot").collect()], np.uint64))
+    hot = hot.toArrow()
+    hot_tokens = (hot["hot"].to_numpy().astype(np.uint64), hot["times"].to_numpy())
     shared = np.zeros(1 << MAP_BITS - 3, np.uint8)
     width = (1 << MAP_BITS - 3) // buckets
     for r in facts.where("bits IS NOT NULL").select("bucket", "bits").collect():
@@ -332,38 +437,35 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     entered = postings(docs, hot_tokens, shared, boundary, n, percent, id_col, text_col).where("size(tokens) + size(subsets) > 0")
     entered = materialise(entered.join(classes.select("id", "low"), ["id", "low"], "left_semi").dropDuplicates(["id", "low"]))
     links = materialise(light_links(entered))
-    lists = entered.select("id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select("id", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    lists = entered.select("id", "n", "end", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "id", "n", F.col("t.places").alias("place"), "end")
     busy = lists.groupBy("token").agg(F.min("id").alias("m"), F.max("id").alias("k")).where("m <> k").select("token")
-    lists = materialise(lists.join(busy, "token").select("token", "id", "n", "place"))
-
-    # copies of an id with other sets: one document
-    doubles = classes.groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    tried = None
-    centres = leaders(lists, "id")
-    while True:
-        pairs = best_centres(lists, centres, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        found = verified(docs, pairs, classes, n, percent, id_col, text_col)
-        links = materialise(links.union(found))
-        tried = pairs if tried is None else materialise(tried.union(pairs))
-        parts = components(links)
-        marked = lists.join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
-        several = marked.groupBy("token").agg(F.min("part").alias("m"), F.max("part").alias("k"), F.count(F.lit(1)).alias("c")).where("m <> k")
-        lists = materialise(marked.join(several, "token").select("token", "id", "n", "place", "part", "m", "c"))
-        if not lists.take(1):
-            break
-        spread = lists.groupBy("token", "part").count().groupBy("token").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("p")).agg(F.sum("p") / 2).first()[0]
-        if spread <= max(1_000_000, 2 * lists.count()) or not found.take(1):
-            x, y = lists.alias("x"), lists.alias("y")
-            rest = x.join(y, "token").where((F.col("x.part") != F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & fits(percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-            found = verified(docs, rest, classes, n, percent, id_col, text_col)
-            parts = components(links.union(found))
-            break
-        centres = leaders(lists, "part")
-        lists = lists.select("token", "id", "n", "place")
+    lists = materialise(weighed(lists.join(busy, "token").select(*LIST)))
+
+    # each set against its centre
+    centres = materialise(best_centres(lists, leaders(lists), percent))
+    families = centres.where("family").select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+    for _ in range(ROOT_STEPS):
+        # a centre that has one itself hands its family on; weights grow that way, so this ends
+        above = families.select(F.col("id").alias("pivot"), F.col("pivot").alias("above"))
+        families = materialise(families.join(above, "pivot", "left").select("id", F.coalesce("above", "pivot").alias("pivot")))
+    tried = centres.where("may").select("a", "b").union(families.select("id", "pivot")).distinct()
+    heads = families.select(F.col("pivot").alias("id")).distinct().join(families, "id", "left_anti")
+    families = materialise(families.union(heads.select("id", F.col("id").alias("pivot"))))
+    links = materialise(links.union(verified(docs, tried, classes, n, percent, id_col, text_col)))
+    parts = materialise(components(links))
+    # then what is left: pairs from different components, by what they change of their family's centre, or by all lists
+    marked = lists.join(parts.select("id", F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    several = marked.groupBy("token").agg(F.min("part").alias("m"), F.max("part").alias("k")).where("m <> k").select("token")
+    lists = marked.join(several, "token").join(families, "id", "left").select(*LIST, "part", "pivot")
+    apart = (F.col("x.part") != F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
+    rest = meetings(lists, lists, apart, percent).where("may").select("a", "b")
+    mixed_families = families.join(parts.select("id", "component"), "id", "left").groupBy("pivot").agg(F.min(F.coalesce("component", "id")).alias("m"), F.max(F.coalesce("component", "id")).alias("k")).where("m <> k").select("pivot")
+    inside = family_pairs(docs, materialise(families.join(mixed_families, "pivot", "left_semi").select("id", "pivot")), classes, parts, n, percent, id_col, text_col)
+    rest = rest.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    found = materialise(verified(docs, rest, classes, n, percent, id_col, text_col))
+    if found.take(1):
+        parts = components(links.union(found))
     classed = classes.join(parts.select("id", "component"), "id", "left").select("low", "high", F.col("n").alias("_n"), F.coalesce("component", "id").alias("component"))
     result = rows.alias("r").join(classed.alias("c"), (F.col("r.low") == F.col("c.low")) & (F.col("r.high") == F.col("c.high")) & (F.col("r.n") == F.col("c._n")), "left")
     component = F.when(F.col("r.id").isNull(), F.lit(None)).otherwise(F.coalesce("c.component", "r.id"))
