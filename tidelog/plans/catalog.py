@@ -2,7 +2,9 @@
 
 from tidelog.functions import catalog as functions
 from tidelog.operators import relational
-from tidelog.plans import datalog
+from tidelog.plans import datalog, graph, streams
+from tidelog.sources import formats
 
-QUERIES = {**datalog.QUERIES, **relational.QUERIES, **functions.QUERIES}
-SQL = {**datalog.SQL, **relational.SQL, **functions.SQL}
+PARTS = (datalog, relational, functions, graph, streams, formats)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
