@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.datalog import DatalogSession
@@ -19,7 +19,7 @@ def vertices_of(edges: DataFrame) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(c for c in edges.columns if c not in ("src", "dst")))
 
 
 def triplets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -158,7 +158,3 @@ def grid(spark, rows: int, columns: int) -> DataFrame:
 
 def star(spark, n: int) -> DataFrame:
     return spark.range(1, n).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
-
-
-def ranked(df: DataFrame, by: str, n: int) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.desc(by), "id"))).where(F.col("place") <= n)
