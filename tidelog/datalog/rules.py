@@ -24,7 +24,7 @@ def value(term: Term) -> Column:
     if isinstance(term, Constant):
         return F.lit(term.value)
     left, right = value(term.left), value(term.right)
-    return {"+": left + right, "-": left - right, "*": left * right, "/": left / right, "%": left % right}[term.sign]
+    return {"+": left + right, "-": left - right, "*": left * right, "/": left / right}[term.sign]
 
 
 def compared(c: Comparison) -> Column:
