@@ -28,7 +28,7 @@ from tidelog.llm.spans import IdCache, mark_cuts, ranges
 #: The pre-tokenizer pattern of the byte-level vocabulary files.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids that each cache of a worker holds, about.
-CACHE_IDS = 6_000_000
+CACHE_IDS = 2_500_000
 #: White space that units seldom hold; it parts units that go through the pattern together.
 BREAK = 0x0B
 #: Bytes that begin white space, or may.

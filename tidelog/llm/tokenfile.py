@@ -30,12 +30,14 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.bpe import CACHE_IDS, binary_column
+from tidelog.llm.bpe import binary_column
 from tidelog.llm.common import materialise, shared_dir, text_chunks
 from tidelog.llm.spans import IdCache, mark_cuts, words_of
 
 MAGIC = b"TDWM0001"
 BLOCK = 512
+#: Ids that the cache of a worker holds, about.
+CACHE_IDS = 6_000_000
 #: Units that the library encodes in one call.
 CALL_UNITS = 1000
 #: Text bytes of a shard, and sample keys of each.
