@@ -53,6 +53,8 @@ LARGEST_LIGHT = 16
 #: Percent of its first tokens that a set shares with the centre of its family, at least.
 FAMILY = 10
 ROOT_STEPS = 2
+#: Partners of one set that a task takes.
+SALT_ROWS = 200
 LIST = ["token", "id", "n", "place", "end"]
 #: Candidate rows that a broadcast may hold; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -293,16 +295,28 @@ def set_rows(docs: DataFrame, wanted: DataFrame, small: bool, n: int, id_col: st
     return rows.select(*names, "low", "_text").mapInArrow(run, ", ".join(["id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "tokens binary"]))
 
 
+def spread(pairs: DataFrame, one: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs with a salt that deals the partners of a much wanted `other` out to several tasks, and how many each has."""
+    salts = pairs.groupBy(other).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
+    return pairs.join(salts, other).select(one, other, F.pmod(F.xxhash64(one), F.col("salts")).cast("int").alias("salt")), salts
+
+
+def salts_of(salts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias("salt")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that are links. A set travels once for each of its pairs as a, and once as b."""
     pairs = materialise(pairs)
     count = pairs.count()
     small = count <= BROADCAST_ROWS
     lows = classes.select("id", "low")
-    of_a = pairs.groupBy("a").agg(F.collect_set("b").alias("bs")).withColumnRenamed("a", "id").join(lows, "id")
-    of_b = pairs.select(F.col("b").alias("id")).distinct().join(lows, "id")
-    a = set_rows(docs, of_a, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"), F.explode("bs").alias("b"))
-    b = set_rows(docs, of_b, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"))
+    salted, salts = spread(pairs, "a", "b")
+    of_a = salted.groupBy("a").agg(F.collect_set(F.struct("b", "salt")).alias("bs")).withColumnRenamed("a", "id").join(lows, "id")
+    of_b = salts.withColumnRenamed("b", "id").join(lows, "id")
+    a = set_rows(docs, of_a, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"), F.explode("bs").alias("at"))
+    a = a.select("a", "a_tokens", "at.b", "at.salt")
+    b = set_rows(docs, of_b, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"), salts_of("salts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +332,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
                 linked.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return materialise(a.join(b, "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long"))
+    return materialise(a.join(b, ["b", "salt"]).select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long"))
 
 
 def family_pairs(docs: DataFrame, families: DataFrame, classes: DataFrame, parts: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -331,9 +345,10 @@ def family_pairs(docs: DataFrame, families: DataFrame, classes: DataFrame, parts
     lows = classes.select("id", "low")
     count = families.count()
     small = count <= BROADCAST_ROWS
-    own = set_rows(docs, families.join(lows, "id"), small, n, id_col, text_col).dropDuplicates(["id"])
-    pivots = families.select(F.col("pivot").alias("id")).distinct().join(lows, "id")
-    pivots = set_rows(docs, pivots, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens"))
+    salted, salts = spread(families, "id", "pivot")
+    own = set_rows(docs, salted.join(lows, "id"), small, n, id_col, text_col).dropDuplicates(["id"])
+    pivots = set_rows(docs, salts.withColumnRenamed("pivot", "id").join(lows, "id"), small, n, id_col, text_col).dropDuplicates(["id"])
+    pivots = pivots.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens"), salts_of("salts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,7 +362,7 @@ def family_pairs(docs: DataFrame, families: DataFrame, classes: DataFrame, parts
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *deltas]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pivot"), pa.array(sizes, pa.int32()), pa.array(centre_sizes, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["id", "pivot", "s", "c", "delta"])
 
-    members = own.join(pivots, "pivot").select("id", "pivot", "tokens", "pivot_tokens").mapInArrow(run, "id long, pivot long, s int, c int, delta array<long>")
+    members = own.join(pivots, ["pivot", "salt"]).select("id", "pivot", "tokens", "pivot_tokens").mapInArrow(run, "id long, pivot long, s int, c int, delta array<long>")
     members = materialise(members.withColumn("d", F.size("delta")).join(parts.select("id", "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
     tokens = members.select("pivot", "id", "s", "d", "part", (F.col("d") * (100 + percent) <= (100 - percent) * (F.col("s") + F.col("c"))).alias("near"), F.ceil(((100 + percent) * F.col("d") + (100 - percent) * (F.col("c") - F.col("s"))) / (2 * (100 + percent))).alias("half"), F.explode("delta").alias("token"))
     shared = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
