@@ -200,6 +200,24 @@ def test_pages(spark):
     assert extract_pages(copies.limit(0)).count() == 0
 
 
+def extracted(spark, htmls, host="h.example"):
+    df = spark.createDataFrame([(k, f"http://{host}/{k}", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in extract_pages(df).collect()}
+
+
+def test_votes_decide_before_names(spark):
+    long = [f"story {k} " + " ".join(f"w{k}x{j}" for j in range(40)) for k in range(30)]
+    # the main text in a plain div, an article as a teaser; an unnamed constant line
+    plain = extracted(spark, [f"<body><p>All rights are ours</p><div><p>{t}</p></div><article><p>teaser {k}</p></article><nav>m {k}</nav></body>" for k, t in enumerate(long)])
+    assert plain[7] == f"{long[7]}\n\nteaser 7"
+    # the region named as comments holds what varies
+    named = extracted(spark, [f'<body><div class="comments"><p>{t}</p></div><footer>f {k}</footer></body>' for k, t in enumerate(long)])
+    assert named[7] == long[7]
+    # alone, names and an article that holds most decide
+    assert extracted(spark, [f"<p>{long[0]}</p><article><p>teaser</p></article>"])[0] == f"{long[0]}\n\nteaser"
+    assert main_text(Page("<ul><li><a>x</a><li><a>y</a></ul><p><a>a whole link</a></p>"), set()) == "a whole link"
+
+
 def test_wavelet_files(documents, nasty, tmp_path):
     x = np.random.default_rng(1).integers(0, 300, 3000)
     file = WaveletFile(write_wavelet(x, np.array([1000, 2000]), [None, 5]))
