@@ -218,6 +218,12 @@ def test_votes_decide_before_names(spark):
     assert main_text(Page("<ul><li><a>x</a><li><a>y</a></ul><p><a>a whole link</a></p>"), set()) == "a whole link"
 
 
+def test_boilerplate_that_outweighs_the_article(spark):
+    legal = "terms and conditions of this site in full " * 20
+    found = extracted(spark, [f'<body class="postid-{k}"><div class="box c{k}"><p>{legal}</p></div><div class="t{k}"><p>short text {k}</p></div></body>' for k in range(30)])
+    assert found[7] == "short text 7"
+
+
 def test_wavelet_files(documents, nasty, tmp_path):
     x = np.random.default_rng(1).integers(0, 300, 3000)
     file = WaveletFile(write_wavelet(x, np.array([1000, 2000]), [None, 5]))
