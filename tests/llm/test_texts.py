@@ -224,6 +224,17 @@ def test_boilerplate_that_outweighs_the_article(spark):
     assert found[7] == "short text 7"
 
 
+def test_layouts_and_small_hosts(spark):
+    inner = ["<p>{b}</p><div><p>{t}</p></div>", "<section><p>{b}</p></section><p>{t}</p>", "<div><div><p>{b}</p></div></div><p>{t}</p>", "<main><p>{b}</p></main><section><p>{t}</p></section>"]
+    found = extracted(spark, [f"<body>{form.format(b=f'boilerplate of layout {k}', t=f'text {k} {j}')}</body>" for k, form in enumerate(inner) for j in range(5)])
+    assert [found[k] for k in range(20)] == [f"text {k} {j}" for k in range(4) for j in range(5)]
+    # a block that few pages have, and a layout that only one has
+    notice = "<blockquote><p>we were here first</p></blockquote>"
+    htmls = [f"<body>{notice * (k % 5 == 0)}<p>text {k} a</p><p>text {k} b</p></body>" for k in range(30)] + [f"<body>{notice}<section><p>alone</p></section></body>"]
+    found = extracted(spark, htmls)
+    assert found == {k: f"text {k} a\n\ntext {k} b" for k in range(30)} | {30: "alone"}
+
+
 def test_wavelet_files(documents, nasty, tmp_path):
     x = np.random.default_rng(1).integers(0, 300, 3000)
     file = WaveletFile(write_wavelet(x, np.array([1000, 2000]), [None, 5]))
