@@ -235,6 +235,12 @@ def test_layouts_and_small_hosts(spark):
     assert found == {k: f"text {k} a\n\ntext {k} b" for k in range(30)} | {30: "alone"}
 
 
+def test_names_inside_an_article():
+    inside = '<section id="related-work"><h2 id="how-to-share-code">share</h2><p>a</p></section><p class="comment">b</p><div id="search-results">c</div><div class="notice">d</div><div id="social-history">e</div>'
+    assert main_text(Page(f'<article>{inside}<div class="comments">x</div><div class="a share-buttons">y</div></article>'), set()) == "share\n\na\n\nb\n\nc\n\nd\n\ne"
+    assert main_text(Page('<div><h2 id="how-to-share-code">share</h2><p class="comment">b</p><section id="related-work">a</section></div><div class="ad-box">x</div>'), set()) == "share\n\nb\n\na"
+
+
 def test_wavelet_files(documents, nasty, tmp_path):
     x = np.random.default_rng(1).integers(0, 300, 3000)
     file = WaveletFile(write_wavelet(x, np.array([1000, 2000]), [None, 5]))
