@@ -120,6 +120,18 @@ for _name, _how, _sql in (("join_left", "left", "LEFT"), ("join_right", "right",
     _outer(_name, _how, _sql)
 
 
+def _whole_outer(name: str, how: str, sql: str) -> None:
+    def run(t):
+        return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), how).select("c_custkey", "o_orderkey")
+
+    run.__name__ = f"whole_{name}"
+    query(f"SELECT c_custkey, o_orderkey FROM customer {sql} JOIN orders ON o_custkey = c_custkey")(run)
+
+
+for _name, _how, _sql in (("join_left", "left", "LEFT"), ("join_right", "right", "RIGHT"), ("join_full", "full", "FULL")):
+    _whole_outer(_name, _how, _sql)
+
+
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
 def join_semi(t):
     return t("customer").join(t("orders").where("o_totalprice > 150000"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
@@ -158,6 +170,13 @@ def join_null_safe(t):
     return a.join(b, F.col("k").eqNullSafe(F.col("j"))).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT a.k, a.n * b.m AS n FROM (SELECT nullif(o_custkey % 4, 0) AS k, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT nullif(c_custkey % 4, 0) AS k, count(*) AS m FROM customer GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")
+def whole_join_null_safe(t):
+    a = t("orders").groupBy(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    b = t("customer").groupBy(F.nullif(F.col("c_custkey") % 4, F.lit(0)).alias("j")).agg(F.count(F.lit(1)).alias("m"))
+    return a.join(b, F.col("k").eqNullSafe(F.col("j"))).select("k", (F.col("n") * F.col("m")).alias("n"))
+
+
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, count(*) AS n, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1, 2")
 def aggregate_group(t):
     return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.avg("l_extendedprice").alias("avg_price"), F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"))

@@ -1,4 +1,4 @@
-"""Graph queries over a part of the suppliers' graph, with SQL where recursion can express them."""
+"""Graph queries over a part of the suppliers' graph, and as whole_ over all of it, with SQL where recursion can express them."""
 
 from __future__ import annotations
 
@@ -8,28 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.graph import algorithms as g
-from tidelog.plans.datalog import RELATIONS, with_relations
+from tidelog.plans.datalog import RELATIONS, over_whole, with_relations
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, relation: str = "supp_arc") -> DataFrame:
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    return spark.sql(RELATIONS["supp_arc"]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return spark.sql(RELATIONS[relation]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def over(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(edges(spark, sf_dir))
+def over(f: Callable[[DataFrame], DataFrame], relation: str = "supp_arc") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(edges(spark, sf_dir, relation))
 
 
 ids = "nodes AS (SELECT a AS id FROM supp_arc UNION SELECT b FROM supp_arc)"
-QUERIES = {
-    "graph_connected_components": over(g.connected_components),
-    "graph_strong_components": over(g.strongly_connected_components),
-    "graph_pagerank": over(lambda e: g.pagerank(e, 3).select("id", F.round("rank", 6).alias("rank"))),
-    "graph_shortest_paths": over(lambda e: g.shortest_paths(e, [1, 2])),
-    "graph_triangles": over(g.triangle_counts),
-    "graph_label_propagation": over(lambda e: g.label_propagation(e, 3)),
-    "graph_degrees": over(g.degrees),
+ALGORITHMS = {
+    "graph_connected_components": g.connected_components,
+    "graph_strong_components": g.strongly_connected_components,
+    "graph_pagerank": lambda e: g.pagerank(e, 3).select("id", F.round("rank", 6).alias("rank")),
+    "graph_shortest_paths": lambda e: g.shortest_paths(e, [1, 2]),
+    "graph_triangles": g.triangle_counts,
+    "graph_label_propagation": lambda e: g.label_propagation(e, 3),
+    "graph_degrees": g.degrees,
 }
+QUERIES = {name: over(f) for name, f in ALGORITHMS.items()} | {f"whole_{name}": over(f, "supp_arc_whole") for name, f in ALGORITHMS.items()}
 SQL = {
     "graph_connected_components": with_relations("supp_arc", "u AS (SELECT a, b FROM supp_arc UNION SELECT b, a FROM supp_arc), r AS (SELECT a AS id, a AS o FROM u UNION SELECT r.id, u.b FROM r JOIN u ON r.o = u.a) SELECT id, min(o) AS component FROM r GROUP BY id"),
     "graph_strong_components": with_relations("supp_arc", f"{ids}, r AS (SELECT id, id AS o FROM nodes UNION SELECT r.id, s.b FROM r JOIN supp_arc s ON r.o = s.a) SELECT x.id, min(x.o) AS component FROM r x JOIN r y ON x.id = y.o AND x.o = y.id GROUP BY x.id"),
@@ -38,3 +39,5 @@ SQL = {
     "graph_triangles": with_relations("supp_arc", ids + ", e AS (SELECT DISTINCT least(a, b) AS x, greatest(a, b) AS y FROM supp_arc WHERE a <> b), t AS (SELECT p.x AS a, p.y AS b, q.y AS c FROM e p JOIN e q ON p.y = q.x JOIN e r ON r.x = p.x AND r.y = q.y), m AS (SELECT unnest([a, b, c]) AS id FROM t) SELECT n.id, count(m.id) AS triangles FROM nodes n LEFT JOIN m ON m.id = n.id GROUP BY n.id"),
     "graph_degrees": with_relations("supp_arc", ids + " SELECT id, (SELECT count(*) FROM supp_arc WHERE a = id) AS out_degree, (SELECT count(*) FROM supp_arc WHERE b = id) AS in_degree FROM nodes"),
 }
+# the SQL of shortest paths has a bound on hops that the query doesn't have
+SQL |= {f"whole_{_name}": over_whole(_sql) for _name, _sql in list(SQL.items()) if _name != "graph_shortest_paths"}
