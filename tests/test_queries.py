@@ -9,6 +9,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidelog.graph import algorithms as g
@@ -100,6 +101,15 @@ def test_graph_algorithms(spark, seed):
     assert personal[edges[0][0]] >= 0.15 and all(v == 0 for x, v in personal.items() if x not in reached(edges, edges[0][0]))
 
 
+def test_rounds_that_do_not_suffice_are_an_error(spark):
+    path = spark.createDataFrame([(k, k + 1) for k in range(6)], "src long, dst long")
+    start = spark.range(7).selectExpr("id", "id AS value")
+    run = lambda n: g.pregel(start, path, F.least("value", "message"), F.min, F.col("src_value.value"), None, n, True)
+    with pytest.raises(RuntimeError):
+        run(2)
+    assert {r.value for r in run(10).collect()} == {0}
+
+
 def test_whole_relations(spark, duck):
     """The queries over whole relations that have no SQL, against brute force."""
     lines = duck.execute("SELECT x.l_suppkey, y.l_suppkey, y.l_quantity FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1").fetchall()

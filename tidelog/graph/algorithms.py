@@ -38,9 +38,10 @@ def aggregate_messages(vertices: DataFrame, edges: DataFrame, merge: Callable[[C
     return both.where("message IS NOT NULL").groupBy("id").agg(merge(F.col("message")).alias("message"))
 
 
-def pregel(vertices: DataFrame, edges: DataFrame, program: Column, merge: Callable[[Column], Column], to_dst: Column | None = None, to_src: Column | None = None, max_rounds: int = 50) -> DataFrame:
+def pregel(vertices: DataFrame, edges: DataFrame, program: Column, merge: Callable[[Column], Column], to_dst: Column | None = None, to_src: Column | None = None, max_rounds: int = 50, to_the_end: bool = False) -> DataFrame:
     """vertices: id and value. Each round sends messages along the edges, merges them for each vertex and sets its value to
-    `program` over (value, message) where one came, until no value changes or max_rounds are over."""
+    `program` over (value, message) where one came, until no value changes or max_rounds are over; to_the_end: the latter is
+    an error."""
     vertices = stored(vertices.select("id", "value"))
     for _ in range(max_rounds):
         messages = aggregate_messages(vertices, edges, merge, to_dst, to_src)
@@ -48,14 +49,16 @@ def pregel(vertices: DataFrame, edges: DataFrame, program: Column, merge: Callab
         step = stored(vertices.join(messages, "id", "left").select("id", new.alias("value"), (~new.eqNullSafe(F.col("value"))).alias("changed")))
         vertices = step.select("id", "value")
         if not step.where("changed").take(1):
-            break
+            return vertices
+    if to_the_end:
+        raise RuntimeError(f"values still change after {max_rounds} rounds")
     return vertices
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Per vertex: the smallest id that undirected edges reach."""
     start = vertices_of(edges).withColumn("value", F.col("id"))
-    found = pregel(start, edges, F.least("value", "message"), F.min, F.col("src_value.value"), F.col("dst_value.value"), 10_000)
+    found = pregel(start, edges, F.least("value", "message"), F.min, F.col("src_value.value"), F.col("dst_value.value"), 10_000, True)
     return found.select("id", F.col("value").alias("component"))
 
 
@@ -68,10 +71,10 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     open_ids = vertices_of(edges)
     done: DataFrame | None = None
     while open_ids.take(1):
-        labels = pregel(open_ids.withColumn("value", F.col("id")), left, F.least("value", "message"), F.min, F.col("src_value.value"), None, 10_000)
+        labels = pregel(open_ids.withColumn("value", F.col("id")), left, F.least("value", "message"), F.min, F.col("src_value.value"), None, 10_000, True)
         inside = triplets(labels, left).where("src_value.value = dst_value.value").select("src", "dst")
         marks = labels.withColumn("value", F.when(F.col("id") == F.col("value"), F.col("value")))
-        back = pregel(marks, inside, F.coalesce("value", "message"), F.min, None, F.col("dst_value.value"), 10_000)
+        back = pregel(marks, inside, F.coalesce("value", "message"), F.min, None, F.col("dst_value.value"), 10_000, True)
         found = stored(back.where("value IS NOT NULL").select("id", F.col("value").alias("component")))
         done = found if done is None else done.union(found)
         open_ids = stored(open_ids.join(found, "id", "left_anti"))
