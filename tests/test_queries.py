@@ -110,45 +110,10 @@ def test_rounds_that_do_not_suffice_are_an_error(spark):
     assert {r.value for r in run(10).collect()} == {0}
 
 
-def test_whole_relations(spark, duck):
-    """The queries over whole relations that have no SQL, against brute force."""
-    lines = duck.execute("SELECT x.l_suppkey, y.l_suppkey, y.l_quantity FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1").fetchall()
-    cost = {}
-    for a, b, q in lines:
-        cost[a, b] = min(int(q), cost.get((a, b), 10**9))
-    nodes = {x for arc in cost for x in arc}
-    rows = lambda name: {tuple(r) for r in QUERIES[name](spark, SF).collect()}
-    best = dict(cost)
-    for k in nodes:
-        for a in nodes:
-            for b in nodes:
-                if (a, k) in best and (k, b) in best:
-                    best[a, b] = min(best.get((a, b), 10**9), best[a, k] + best[k, b])
-    assert rows("whole_apsp_ll") == rows("whole_apsp_nl") == {(*arc, c) for arc, c in best.items()}
-    facts = new = {(a, b, b) for a, b in cost}
-    while new:
-        new = {(b, c, d) for _, b, c in new for x, d in cost if x == c} - facts
-        facts = facts | new
-    assert rows("whole_tc_fff") == facts
-    states = new = {(a, b, d, 0) for a, b in cost for x, d in cost if x == b}
-    while new:
-        new = {(a, b, d, 1 - k) for a, b, c, k in new for x, d in cost if x == c} - states
-        states = states | new
-    assert rows("whole_mutual_three") == {(a, b, c) for a, b, c, k in states if k == 0}
-    attend = {x for (x,) in duck.execute("SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0").fetchall()}
-    while more := {y for y in nodes if sum((y, x) in cost for x in attend) >= 2} - attend:
-        attend |= more
-    assert rows("whole_attend") == {(x,) for x in attend}
-    hops = {(m, m): 0 for m in (1, 2)}
-    for _ in nodes:
-        for (m, y), n in list(hops.items()):
-            for a, b in cost:
-                if b == y:
-                    hops[m, a] = min(hops.get((m, a), 10**9), n + 1)
-    assert {(r[0], r[1], r[2]) for r in QUERIES["whole_graph_shortest_paths"](spark, SF).collect()} == {(m, y, n) for (m, y), n in hops.items()}
+def test_same_generation_is_the_level_of_a_tree(spark, duck):
+    nodes = [x for (x,) in duck.execute("SELECT s_suppkey FROM supplier WHERE s_suppkey >= 1").fetchall()]
     level = lambda x: int(x).bit_length()
-    parts = [p for (p,) in duck.execute("SELECT p_partkey FROM part WHERE p_partkey >= 1").fetchall()]
-    assert rows("whole_sg") == {(x, y) for x in parts for y in parts if x != y and level(x) == level(y)}
+    assert {tuple(r) for r in QUERIES["sg"](spark, SF).collect()} == {(x, y) for x in nodes for y in nodes if x != y and level(x) == level(y)}
 
 
 def test_label_propagation_and_helpers(spark, tmp_path):

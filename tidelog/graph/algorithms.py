@@ -62,6 +62,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return found.select("id", F.col("value").alias("component"))
 
 
+def kept_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges between these vertices."""
+    src, dst = (vertices.select(F.col("id").alias(end)) for end in ("src", "dst"))
+    return stored(edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi").select(*edges.columns))
+
+
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
     """Per vertex: the smallest id of those that it reaches and that reach it.
 
@@ -71,14 +77,21 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     open_ids = vertices_of(edges)
     done: DataFrame | None = None
     while open_ids.take(1):
+        # what has no edge in or none out is a component of its own
+        inner = stored(open_ids.join(left.select(F.col("src").alias("id")), "id", "left_semi").join(left.select(F.col("dst").alias("id")), "id", "left_semi"))
+        alone = open_ids.join(inner, "id", "left_anti").select("id", F.col("id").alias("component"))
+        done = alone if done is None else done.union(alone)
+        open_ids, left = inner, kept_edges(left, inner)
+        if not open_ids.take(1):
+            break
         labels = pregel(open_ids.withColumn("value", F.col("id")), left, F.least("value", "message"), F.min, F.col("src_value.value"), None, 10_000, True)
         inside = triplets(labels, left).where("src_value.value = dst_value.value").select("src", "dst")
         marks = labels.withColumn("value", F.when(F.col("id") == F.col("value"), F.col("value")))
         back = pregel(marks, inside, F.coalesce("value", "message"), F.min, None, F.col("dst_value.value"), 10_000, True)
         found = stored(back.where("value IS NOT NULL").select("id", F.col("value").alias("component")))
-        done = found if done is None else done.union(found)
+        done = done.union(found)
         open_ids = stored(open_ids.join(found, "id", "left_anti"))
-        left = stored(left.join(open_ids.select(F.col("id").alias("src")), "src", "left_semi").join(open_ids.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        left = kept_edges(left, open_ids)
     return done if done is not None else open_ids.withColumn("component", F.col("id"))
 
 
@@ -109,10 +122,15 @@ def shortest_paths(edges: DataFrame, landmarks: list[int]) -> DataFrame:
 
 
 def triangle_counts(edges: DataFrame) -> DataFrame:
-    """Per vertex: the triangles that it is in. Edges go both ways and count once; the smaller id is taken first."""
+    """Per vertex: the triangles that it is in. Edges go both ways and count once. They are directed from the vertex of lower
+    degree, so a hub has few edges out, and few wedges."""
     once = stored(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-    wedge = once.join(once.select(F.col("a").alias("b"), F.col("b").alias("c")), "b")
-    closed = stored(wedge.join(once.select("a", F.col("b").alias("c")), ["a", "c"], "left_semi").select("a", "b", "c"))
+    degree = once.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    both = once.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    up = F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))
+    up = stored(both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("b")))
+    wedge = up.join(up.select("a", F.col("b").alias("c")), "a").where("b <> c")
+    closed = stored(wedge.join(up.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"], "left_semi").select("a", "b", "c"))
     counts = closed.select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("triangles"))
     return vertices_of(edges).join(counts, "id", "left").select("id", F.coalesce("triangles", F.lit(0)).alias("triangles"))
 
@@ -161,3 +179,68 @@ def grid(spark, rows: int, columns: int) -> DataFrame:
 
 def star(spark, n: int) -> DataFrame:
     return spark.range(1, n).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"))
+
+
+def log_normal(spark, n: int, mu: float = 4.0, sigma: float = 1.3, seed: int = 1) -> DataFrame:
+    """Edges of a graph whose numbers of edges out are log-normal, to vertices that a hash chooses."""
+    degree = F.least(F.exp(F.randn(seed) * sigma + mu), F.lit(float(n))).cast("int")
+    placed = spark.range(n).select(F.col("id").alias("src"), degree.alias("degree")).where("degree > 0")
+    ends = placed.select("src", F.explode(F.sequence(F.lit(1), F.col("degree"))).alias("k"))
+    return ends.select("src", F.pmod(F.xxhash64("src", "k", F.lit(seed)), F.lit(n)).alias("dst"))
+
+
+#: Shares of the four quarters of R-MAT's matrix (fixed values).
+QUARTERS = (0.45, 0.15, 0.15, 0.25)
+
+
+def rmat(spark, n: int, edges: int, seed: int = 1) -> DataFrame:
+    """Distinct edges over the next power of two of n vertices: each bit of both ends comes from the quarter of the matrix
+    that is drawn for it."""
+    levels = max(1, (n - 1).bit_length())
+    a, b, c, _ = QUARTERS
+    drawn = spark.range(edges).select(*(F.rand(seed + k).alias(f"r{k}") for k in range(levels)))
+    src = sum((F.when(F.col(f"r{k}") >= a + b, F.lit(1 << k)).otherwise(0) for k in range(levels)), F.lit(0).cast("long"))
+    down = [F.when(F.col(f"r{k}") < a + b, F.col(f"r{k}") >= a).otherwise(F.col(f"r{k}") >= a + b + c) for k in range(levels)]
+    dst = sum((F.when(x, F.lit(1 << k)).otherwise(0) for k, x in enumerate(down)), F.lit(0).cast("long"))
+    return drawn.select(src.alias("src"), dst.alias("dst")).distinct()
+
+
+def map_vertices(vertices: DataFrame, value: Column) -> DataFrame:
+    return vertices.select("id", value.alias("value"))
+
+
+def subgraph(vertices: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
+    """The vertices that a condition holds for, and the edges between them."""
+    kept = stored(vertices.where(keep))
+    return kept, kept_edges(edges, kept.select("id"))
+
+
+def minus(vertices: DataFrame, other: DataFrame) -> DataFrame:
+    """Vertices whose id the other doesn't have."""
+    return vertices.join(other, "id", "left_anti")
+
+
+def diff(vertices: DataFrame, other: DataFrame) -> DataFrame:
+    """Vertices of both with another value there: the other's."""
+    theirs = other.select("id", F.col("value").alias("theirs"))
+    return vertices.join(theirs, "id").where(~F.col("value").eqNullSafe(F.col("theirs"))).select("id", F.col("theirs").alias("value"))
+
+
+def joined(vertices: DataFrame, other: DataFrame, value: Column, inner: bool = False) -> DataFrame:
+    """Vertices with a value from their own and the other's `theirs`; those the other lacks get null there, or go."""
+    theirs = other.select("id", F.col("value").alias("theirs"))
+    return vertices.join(theirs, "id", "inner" if inner else "left").select("id", value.alias("value"))
+
+
+def aggregate_using_index(vertices: DataFrame, messages: DataFrame, merge: Callable[[Column], Column]) -> DataFrame:
+    """Messages (id, value) merged by vertex, for vertices that are there."""
+    return messages.groupBy("id").agg(merge(F.col("value")).alias("value")).join(vertices.select("id"), "id", "left_semi")
+
+
+def map_edges(edges: DataFrame, value: Column) -> DataFrame:
+    return edges.select("src", "dst", value.alias("value"))
+
+
+def inner_join_edges(edges: DataFrame, other: DataFrame, value: Column) -> DataFrame:
+    """Edges of both, with a value from their own and the other's `theirs`."""
+    return edges.join(other.select("src", "dst", F.col("value").alias("theirs")), ["src", "dst"]).select("src", "dst", value.alias("value"))

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to spark.checkpoint.dir (a new local folder where that is unset, as in tests) and cuts its lineage.
 
     The copy is reliable: an executor may be lost without any of it. It goes when nothing refers to it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
+    shared_folder(df.sparkSession)
     # a checkpoint keeps the constraints of its plan, and a later union fails on those of columns that it dropped
     conf = df.sparkSession.conf
     before = conf.get(CONSTRAINTS)
