@@ -109,27 +109,37 @@ for _name, _hint in (("join_sort_merge", "merge"), ("join_shuffle_hash", "shuffl
 
 def _outer(name: str, how: str, sql: str) -> None:
     def run(t):
-        few = t("orders").where("o_orderkey % 4 = 0")
-        return t("customer").where("c_custkey % 3 <> 1").join(few, F.col("o_custkey") == F.col("c_custkey"), how).select("c_custkey", "o_orderkey")
+        return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), how).select("c_custkey", "o_orderkey")
 
     run.__name__ = name
-    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 1) c {sql} JOIN (SELECT * FROM orders WHERE o_orderkey % 4 = 0) o ON o_custkey = c_custkey")(run)
+    query(f"SELECT c_custkey, o_orderkey FROM customer {sql} JOIN orders ON o_custkey = c_custkey")(run)
 
 
 for _name, _how, _sql in (("join_left", "left", "LEFT"), ("join_right", "right", "RIGHT"), ("join_full", "full", "FULL")):
     _outer(_name, _how, _sql)
 
 
-def _whole_outer(name: str, how: str, sql: str) -> None:
-    def run(t):
-        return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), how).select("c_custkey", "o_orderkey")
+@query("SELECT n_name, c_custkey FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9900) c ON c_nationkey = n_nationkey")
+def join_broadcast_outer(t):
+    rich = t("customer").where("c_acctbal > 9900")
+    return t("nation").join(small(rich), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_name", "c_custkey")
 
-    run.__name__ = f"whole_{name}"
-    query(f"SELECT c_custkey, o_orderkey FROM customer {sql} JOIN orders ON o_custkey = c_custkey")(run)
 
+@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')")
+def join_broadcast_semi(t):
+    asia = t("nation").join(small(t("region").where("r_name = 'ASIA'")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return t("customer").join(small(asia), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
 
-for _name, _how, _sql in (("join_left", "left", "LEFT"), ("join_right", "right", "RIGHT"), ("join_full", "full", "FULL")):
-    _whole_outer(_name, _how, _sql)
+
+@query("SELECT n_nationkey AS k, n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def join_using(t):
+    suppliers = t("supplier").withColumnRenamed("s_nationkey", "k")
+    return t("nation").withColumnRenamed("n_nationkey", "k").join(suppliers, "k").select("k", "n_name", "s_suppkey")
+
+
+@query("SELECT r_name, n_name FROM region LEFT JOIN nation ON r_regionkey * 5 < n_nationkey")
+def join_theta_outer(t):
+    return t("region").join(small(t("nation")), F.col("r_regionkey") * 5 < F.col("n_nationkey"), "left").select("r_name", "n_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)")
@@ -163,18 +173,12 @@ def join_self(t):
     return a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.o_orderkey") < F.col("b.o_orderkey"))).select(F.col("a.o_orderkey").alias("x"), F.col("b.o_orderkey").alias("y"))
 
 
-@query("SELECT a.k, count(*) AS n FROM (SELECT nullif(o_custkey % 4, 0) AS k FROM orders WHERE o_orderkey % 50 = 0) a JOIN (SELECT nullif(c_custkey % 4, 0) AS k FROM customer WHERE c_custkey % 50 = 0) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY 1")
+@query("SELECT a.k, n * m AS n FROM (SELECT nullif(o_custkey % 4, 0) AS k, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT nullif(c_custkey % 4, 0) AS k, count(*) AS m FROM customer GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")
 def join_null_safe(t):
-    a = t("orders").where("o_orderkey % 50 = 0").select(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k"))
-    b = t("customer").where("c_custkey % 50 = 0").select(F.nullif(F.col("c_custkey") % 4, F.lit(0)).alias("j"))
-    return a.join(b, F.col("k").eqNullSafe(F.col("j"))).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT a.k, a.n * b.m AS n FROM (SELECT nullif(o_custkey % 4, 0) AS k, count(*) AS n FROM orders GROUP BY 1) a JOIN (SELECT nullif(c_custkey % 4, 0) AS k, count(*) AS m FROM customer GROUP BY 1) b ON a.k IS NOT DISTINCT FROM b.k")
-def whole_join_null_safe(t):
+    """How many pairs each key has: both sides are counted by key before they meet."""
     a = t("orders").groupBy(F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     b = t("customer").groupBy(F.nullif(F.col("c_custkey") % 4, F.lit(0)).alias("j")).agg(F.count(F.lit(1)).alias("m"))
-    return a.join(b, F.col("k").eqNullSafe(F.col("j"))).select("k", (F.col("n") * F.col("m")).alias("n"))
+    return a.join(b, a.k.eqNullSafe(b.j)).select("k", (F.col("n") * F.col("m")).alias("n"))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, count(*) AS n, min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship FROM lineitem GROUP BY 1, 2")
@@ -418,3 +422,121 @@ def frequent_items(t):
 @query(None)
 def approximate_distinct(t):
     return t("orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))
+
+
+@query("SELECT l_returnflag, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS stddev, var_samp(l_quantity) AS variance, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY 1")
+def aggregate_aliases(t):
+    """mean, stddev and variance, and first and last of rows in order."""
+    q = F.col("l_quantity")
+    ordered = F.array_sort(F.collect_set("l_shipdate"))
+    rows = t("lineitem").groupBy("l_returnflag").agg(F.mean(q).alias("mean"), F.stddev(q).alias("stddev"), F.variance(q).alias("variance"), ordered.alias("days"))
+    days = rows.select("l_returnflag", "mean", "stddev", "variance", F.explode("days").alias("day"))
+    w = Window.partitionBy("l_returnflag").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = days.withColumns({"f": F.first_value("day").over(w), "l": F.last_value("day").over(w)})
+    return marked.groupBy("l_returnflag").agg(F.first("mean").alias("mean"), F.first("stddev").alias("stddev"), F.first("variance").alias("variance"), F.first("f").alias("first"), F.last("l").alias("last"))
+
+
+@query("SELECT o_orderkey, sum(o_totalprice) OVER w AS total, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def window_named(t):
+    t("orders").createOrReplaceTempView("tidelog_orders")
+    return t("orders").sparkSession.sql("SELECT o_orderkey, sum(o_totalprice) OVER w AS total, first_value(o_orderkey) OVER w AS first FROM tidelog_orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+
+
+@query("SELECT l_orderkey, l_linenumber, (l_quantity::DECIMAL(12, 2) * l_discount::DECIMAL(6, 4))::DECIMAL(18, 6) AS product, (l_extendedprice::DECIMAL(12, 2) + 1)::DECIMAL(14, 2) AS next FROM lineitem")
+def decimals(t):
+    product = F.col("l_quantity").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(6,4)")
+    return t("lineitem").select("l_orderkey", "l_linenumber", product.cast("decimal(18,6)").alias("product"), (F.col("l_extendedprice").cast("decimal(12,2)") + 1).cast("decimal(14,2)").alias("next"))
+
+
+@query("SELECT l_returnflag, sum(l_extendedprice::DECIMAL(12, 2))::DECIMAL(22, 2) AS total, count(CASE WHEN abs(l_extendedprice) >= 1000 THEN 1 END) AS too_wide FROM lineitem GROUP BY 1")
+def decimal_overflow(t):
+    """What doesn't fit a decimal becomes null where that is asked for."""
+    narrow = F.expr("try_cast(l_extendedprice AS decimal(5,2))")
+    return t("lineitem").groupBy("l_returnflag").agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).cast("decimal(22,2)").alias("total"), F.count(F.when(narrow.isNull(), 1)).alias("too_wide"))
+
+
+@query("SELECT p_partkey, unnest(['size', 'price']) AS k, unnest([p_size::DOUBLE, p_retailprice::DOUBLE]) AS v FROM part")
+def explode_map(t):
+    pairs = F.create_map(F.lit("size"), F.col("p_size").cast("double"), F.lit("price"), F.col("p_retailprice").cast("double"))
+    return t("part").select("p_partkey", F.explode(pairs).alias("k", "v"))
+
+
+@query("SELECT p_partkey, unnest(range(1, p_size % 3 + 1))::INTEGER AS n FROM part UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size % 3 = 0")
+def explode_outer(t):
+    numbers = F.when(F.col("p_size") % 3 > 0, F.sequence(F.lit(1), (F.col("p_size") % 3).cast("int")))
+    return t("part").select("p_partkey", F.explode_outer(numbers).alias("n"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS k, n_name AS v FROM nation")
+def script_transform(t):
+    """Rows through a program of the operating system."""
+    t("nation").createOrReplaceTempView("tidelog_nation")
+    return t("nation").sparkSession.sql("SELECT TRANSFORM(n_nationkey, n_name) USING 'cat' AS (k STRING, v STRING) FROM tidelog_nation")
+
+
+@query("SELECT count(*) AS n, true AS disjoint FROM orders")
+def random_split(t):
+    parts = t("orders").select("o_orderkey").randomSplit([0.6, 0.3, 0.1], 7)
+    whole = parts[0].union(parts[1]).union(parts[2])
+    return whole.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == F.count_distinct("o_orderkey")).alias("disjoint"))
+
+
+@query("SELECT true AS repeats, true AS known")
+def sample_with_replacement(t):
+    keys = t("orders").select("o_orderkey")
+    drawn = keys.sample(True, 1.5, 7).groupBy("o_orderkey").count()
+    return drawn.join(keys, "o_orderkey", "left").agg((F.max("count") > 1).alias("repeats"), (F.count("o_orderkey") > 0).alias("known"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey % 3 = 1 GROUP BY 1 HAVING count(*) % 2 >= 0")
+def udf_python(t):
+    """A plain function in SELECT's WHERE and HAVING, by name, with nulls handled by itself."""
+    spark = t("orders").sparkSession
+    spark.udf.register("tidelog_rest", lambda x, n: None if x is None else x % n, "long")
+    t("orders").createOrReplaceTempView("tidelog_orders")
+    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM tidelog_orders WHERE tidelog_rest(o_orderkey, 3) = 1 GROUP BY 1 HAVING tidelog_rest(count(*), 2) >= 0")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 1 THEN 2 * o_custkey END AS twice FROM orders")
+def udf_null_arguments(t):
+    twice = F.udf(lambda x: None if x is None else 2 * x, "long")
+    return t("orders").select("o_orderkey", twice(F.when(F.col("o_custkey") % 2 == 1, F.col("o_custkey"))).alias("twice"))
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, n_name FROM nation")
+def zip_with_index(t):
+    """Numbers rows in order without one task for all: counts of the sorted partitions, then places inside them."""
+    placed = t("nation").orderBy("n_nationkey").select("n_name", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    before = placed.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    starts = before.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return placed.join(F.broadcast(starts.select("p", "first", "start")), "p").select((F.col("m") - F.col("first") + F.col("start")).alias("i"), "n_name")
+
+
+@query("SELECT floor(l_quantity / 10)::BIGINT AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def histogram(t):
+    return t("lineitem").groupBy(F.floor(F.col("l_quantity") / 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT count(l_quantity) AS n, sum(l_quantity)::DOUBLE AS total, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS sd FROM lineitem")
+def double_stats(t):
+    q = F.col("l_quantity").cast("double")
+    return t("lineitem").agg(F.count(q).alias("n"), F.sum(q).alias("total"), F.avg(q).alias("mean"), F.stddev_pop(q).alias("sd"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def subtract_by_key(t):
+    return t("customer").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 GROUP BY 1")
+def filter_by_range(t):
+    """Rows are range-partitioned and sorted; a range is then read from few partitions."""
+    ranged = t("orders").repartitionByRange("o_totalprice").sortWithinPartitions("o_totalprice")
+    return ranged.where(F.col("o_totalprice").between(100000, 200000)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n_name AS name, n_regionkey + 1 AS region FROM nation")
+def frame_over_rdd(t):
+    """A DataFrame over an RDD of tuples."""
+    rows = t("nation").select("n_name", "n_regionkey").rdd.map(lambda r: (r[0], r[1] + 1))
+    return t("nation").sparkSession.createDataFrame(rows, "name string, region long").select("name", "region")

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.plans.store import shared_folder
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder in the one that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base}/formats-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/formats-{uuid.uuid4().hex}"
 
 
 def through(kind: str, **options: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -55,6 +55,48 @@ def cached_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+def libsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and vectors, written and read back."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("double").alias("label"), F.col("p_size").cast("double").alias("size"), F.lit(1.5).alias("other"))
+    path = scratch(spark)
+    VectorAssembler(inputCols=["size", "other"], outputCol="features").transform(part).select("label", "features").write.format("libsvm").save(path)
+    read = spark.read.format("libsvm").option("numFeatures", "2").load(path)
+    return read.select("label", vector_to_array("features")[0].alias("size"), vector_to_array("features")[1].alias("other"))
+
+
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole text files and binary files, one row each."""
+    path = scratch(spark)
+    spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").repartition(1).sortWithinPartitions("r_name").write.text(path)
+    texts = spark.read.text(path, wholetext=True).select(F.char_length("value").alias("chars"))
+    binary = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(F.length("content").alias("bytes"))
+    return texts.agg(F.sum("chars").alias("chars")).crossJoin(F.broadcast(binary.agg(F.sum("bytes").alias("bytes"))))
+
+
+def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single quotes, comments and unquoted names are read; what isn't JSON is kept aside."""
+    path = scratch(spark)
+    spark.createDataFrame([("{'a': 1}",), ('{"a": 2} // two',), ("{a: 3}",), ("{broken",)], "value string").coalesce(1).write.text(path)
+    options = {"allowSingleQuotes": "true", "allowComments": "true", "allowUnquotedFieldNames": "true", "mode": "PERMISSIVE"}
+    return spark.read.schema("a long, _corrupt_record string").options(**options).json(path).select("a", F.col("_corrupt_record").isNotNull().alias("broken"))
+
+
+def json_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema inferred from a share of the rows."""
+    lines = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.to_json(F.struct("c_custkey", "c_name")).alias("value"))
+    path = scratch(spark)
+    lines.write.text(path)
+    return spark.read.option("samplingRatio", 0.5).json(path).select("c_custkey", "c_name")
+
+
+def by_class_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source by its class instead of its short name."""
+    return spark.read.format("org.apache.spark.sql.execution.datasources.parquet.ParquetFileFormat").load(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+
+
 ORDERS = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
 QUERIES = {
     "source_parquet": through("parquet"),
@@ -65,6 +107,11 @@ QUERIES = {
     "source_json_inferred": json_inferred,
     "sink_partitioned": partitioned_write,
     "source_cache": cached_scan,
+    "source_libsvm": libsvm,
+    "source_whole_files": whole_files,
+    "source_json_lenient": json_lenient,
+    "source_json_sampled": json_sampled,
+    "source_by_class": by_class_name,
 }
 SQL = {
     **{f"source_{k}": ORDERS for k in ("parquet", "orc", "json", "csv")},
@@ -72,4 +119,9 @@ SQL = {
     "source_json_inferred": "SELECT event_id, event_type FROM events",
     "sink_partitioned": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
     "source_cache": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1",
+    "source_libsvm": "SELECT p_partkey::DOUBLE AS label, p_size::DOUBLE AS size, 1.5::DOUBLE AS other FROM part",
+    "source_whole_files": "SELECT sum(length(r_name) + 1)::BIGINT AS chars, sum(length(r_name) + 1)::BIGINT AS bytes FROM region",
+    "source_json_lenient": "SELECT * FROM (VALUES (1::BIGINT, false), (2, false), (3, false), (NULL, true)) t(a, broken)",
+    "source_json_sampled": "SELECT c_custkey, c_name FROM customer",
+    "source_by_class": "SELECT r_regionkey, r_name FROM region",
 }

@@ -8,12 +8,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tidelog.plans.store import stored
+from tidelog.plans.store import shared_folder
 
 
 def read_files(spark: SparkSession, path: str, schema: StructType | str, kind: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -58,13 +59,64 @@ def update_state_by_key(events: DataFrame, key: str, value: str, start: float, u
 
 
 def run_available(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over what there is now and returns its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    writer.start().awaitTermination()
-    return stored(stream.sparkSession.table(name))
+    """Runs a stream over what there is now and returns its result table, from files in the shared folder: the last batch's
+    in complete mode, else all."""
+    out, batches = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}", []
+
+    def put(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/{number}")
+        batches.append(number)
+
+    writer = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True)
+    (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
+    chosen = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    if not chosen:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*(f"{out}/{k}" for k in chosen))
+
+
+def combine_by_key(events: DataFrame, key: str, value: str) -> DataFrame:
+    """Per key: the count, sum and mean of its values so far."""
+    v = F.col(value)
+    return events.groupBy(key).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"))
+
+
+def with_inverse(panes: DataFrame, key: str, time: str, value: str, slide: str, length: int, keep: Column | None = None) -> DataFrame:
+    """Sums of sliding windows of `length` panes, each from the one before: what comes in is added and what leaves is taken
+    away. panes: the sum of each key and pane of the slide's length. keep: which results stay (over key, end and total)."""
+    # a window ends at each pane from the first to the last that a pane still reaches
+    ends = panes.select(key, F.explode(F.array(F.struct(F.col(time).alias("end"), F.col(value).alias("change")), F.struct((F.col(time) + F.expr(f"INTERVAL '{slide}'") * length).alias("end"), (-F.col(value)).alias("change")))).alias("e"))
+    changes = ends.select(key, "e.end", "e.change").groupBy(key, "end").agg(F.sum("change").alias("change"))
+    in_order = Window.partitionBy(key).orderBy("end")
+    totals = changes.withColumn("total", F.sum("change").over(in_order)).withColumn("until", F.lead("end").over(in_order))
+    # between two changes the total stays
+    step = F.expr(f"INTERVAL '{slide}'")
+    filled = totals.where(F.col("until").isNotNull()).select(key, F.explode(F.sequence("end", F.col("until") - step, step)).alias("end"), "total")
+    return filled.where(keep) if keep is not None else filled
+
+
+def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines from a socket. It can't be read again, so a lost driver loses what came: for trials."""
+    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+
+
+class Progress(StreamingQueryListener):
+    """Notes what each batch read, and how queries end."""
+
+    def __init__(self):
+        self.started, self.rows, self.ended = 0, [], []
+
+    def onQueryStarted(self, event) -> None:
+        self.started += 1
+
+    def onQueryProgress(self, event) -> None:
+        self.rows.append(event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.append(event.exception)
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
