@@ -91,6 +91,6 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     )
 
 
-def loss_text(turns: str = "turns") -> Column:
-    """All assistant texts of the turns read back, once each, in order."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+def loss_text(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
+    """What lies under the loss mask, unescaped: each span of the formatted text, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(F.col(formatted), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
