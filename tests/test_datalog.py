@@ -9,8 +9,9 @@ from tidelog.datalog import DatalogSession
 from tidelog.datalog.fixpoint import Options
 from tidelog.datalog.syntax import DatalogError, parse_program, parse_query
 
+# fixed values: the graphs of the survey's test programs, and the counts below that their results must have
 GRAPH1 = ["0,1", "1,2", "2,3", "3,4", "4,5", "0,6", "6,7", "7,8", "8,9", "9,10"]
-GRAPH1W = [f"{e},1" for e in GRAPH1[:1]] + [f"{e},1" for e in GRAPH1[1:]]
+GRAPH1W = [f"{e},1" for e in GRAPH1]
 GRAPH1B = [*GRAPH1W, "0,2,10"]
 GRAPH2 = ["1,0", "1,2", "2,3", "3,1", "3,4", "3,5", "5,8", "6,5", "6,7", "6,0"]
 GRAPH3 = ["0,1", "0,2", "1,3", "1,4", "2,5", "2,6", "3,7", "3,8", "4,9", "4,10", "5,11", "5,12", " 6,13", "6,14"]
@@ -206,6 +207,12 @@ def test_options_give_the_same_facts(spark, join_type):
     assert run(spark, WEIGHTED + APSP["LL"], "sp(A,B,C).", options, arc=GRAPH1B) == shortest(GRAPH1B)
 
 
+@pytest.mark.parametrize("options", [Options(broadcast_rows=0), Options(compact_every=1), Options(broadcast_rows=0, compact_every=1)])
+def test_facts_in_place_or_not(spark, options):
+    assert run(spark, ARC + TC["RL"], "tc(A,B).", options, arc=GRAPH2) == sorted(closure(GRAPH2))
+    assert run(spark, WEIGHTED + APSP["LL"], "sp(A,B,C).", options, arc=GRAPH1B) == shortest(GRAPH1B)
+
+
 def test_random_graphs(spark):
     rng = random.Random(3)
     for _ in range(2):

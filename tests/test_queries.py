@@ -6,6 +6,12 @@ import glob
 import math
 import os
 import random
+import shutil
+import socket
+import subprocess
+import sys
+import threading
+import time
 
 import duckdb
 import pytest
@@ -58,6 +64,18 @@ def test_entry(spark):
     assert set(QUERIES) <= set(__spark_entry__.queries())
 
 
+def test_rest_works_without_the_corpus_operators(tmp_path):
+    """In a copy without them and without the pipeline, or with the pipeline left behind, all other queries are there."""
+    root = os.path.dirname(__spark_entry__.__file__)
+    shutil.copytree(f"{root}/tidelog", tmp_path / "tidelog", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q); print(len(q), any(k.startswith('op') or k == 'pipeline' for k in q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert done.stdout.split() == [str(len(QUERIES)), "False"], done.stderr
+
+
 def test_sampled_rows_are_rows(spark):
     ids = {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
     found = [r[0] for r in QUERIES["sample_rows"](spark, SF).collect()]
@@ -124,6 +142,10 @@ def test_label_propagation_and_helpers(spark, tmp_path):
     read = g.read_edges(spark, str(tmp_path / "edges.txt"))
     assert sorted(map(tuple, read.collect())) == [(1, 2), (2, 3)]
     assert all(g.partitioned(read, s, 4).count() == 2 for s in ("1d", "2d", "random", "canonical"))
+    powers = g.log_normal(spark, 50, 1.0, 0.5).collect()
+    assert {r.src for r in powers} <= set(range(50)) and all(0 <= r.dst < 50 for r in powers) and 50 < len(powers) < 500
+    drawn = [tuple(r) for r in g.rmat(spark, 32, 400).collect()]
+    assert len(drawn) == len(set(drawn)) and all(0 <= x < 32 for e in drawn for x in e) and sum(a < 16 for a, _ in drawn) > len(drawn) / 2
     assert g.grid(spark, 3, 4).count() == 17 and g.star(spark, 5).count() == 4
     assert sorted(map(tuple, g.reverse(read).select("src", "dst").collect())) == [(2, 1), (3, 2)]
 
@@ -139,6 +161,32 @@ def test_stream_state_restarts_from_its_checkpoint(spark, tmp_path):
     assert sorted(seen) == [0, 1, 2, 3, 4]
 
 
+def test_stream_listener_and_socket(spark, tmp_path):
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        peer, _ = server.accept()
+        peer.sendall(b"one\ntwo\n")
+        time.sleep(5)
+        peer.close()
+
+    threading.Thread(target=serve, daemon=True).start()
+    seen, progress = [], ops.Progress()
+    spark.streams.addListener(progress)
+    query = ops.read_socket(spark, "127.0.0.1", server.getsockname()[1]).writeStream.foreachBatch(lambda df, k: seen.extend(r[0] for r in df.collect())).option("checkpointLocation", str(tmp_path / "socket")).start()
+    for _ in range(100):
+        if len(seen) == 2:
+            break
+        time.sleep(0.3)
+    query.stop()
+    for _ in range(50):
+        if progress.ended:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(progress)
+    assert seen == ["one", "two"] and progress.started == 1 and sum(progress.rows) == 2 and progress.ended == [None]
+
+
 def test_library_does_not_import_the_corpus_package():
     for path in glob.glob(f"{os.path.dirname(__spark_entry__.__file__)}/tidelog/**/*.py", recursive=True):
         if "/llm/" not in path:

@@ -5,6 +5,10 @@ recursive rule once for each of its recursive literals, that one over the new fa
 what wasn't known. With a monotonic aggregate a fact is a key and its best value: a round keeps the keys whose value got
 better. mcount and msum keep the contributions (a key, what contributes, and how much) and derive the counts and sums.
 The new facts of a round are written to the shared folder, so plans don't grow and a lost executor loses none of them.
+
+Facts lie in parts, one for each round, of which some are merged from time to time. Where the relations that rules join
+with are small enough to broadcast, each part stays hashed by its keys: a round then shuffles what it derives, partly
+aggregated, and not the facts that are known. Else adaptive execution does it, as it can split skewed keys.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ from tidelog.plans.store import stored
 class Options:
     """How recursion runs.
 
-    join_type: broadcast, shuffle or sortmerge for the base side of joins; None leaves it to Spark. union_distinct: rules of
+    join_type: broadcast (of what is small enough), shuffle or sortmerge for the base side of joins; None broadcasts in
+    recursion and else leaves it to Spark. union_distinct: rules of
     one predicate are made distinct together. use_partial: monotonic aggregates are aggregated before the shuffle.
     cache_build_side: relations that don't change are written once before the rounds. compact_every: rounds after which the
     facts so far become one frame. max_iterations: more rounds raise an error. partitions: of the facts, hashed by the
-    arguments that recursion passes on; None leaves it to Spark. collect_stats: count the facts that each round derives."""
+    arguments that recursion passes on; None hashes them by all. collect_stats: count the facts that each round derives.
+    broadcast_rows: up to so many rows a relation that doesn't change is broadcast; 0 leaves it to Spark."""
 
     join_type: str | None = None
     union_distinct: bool = True
@@ -40,15 +46,22 @@ class Options:
     max_iterations: int = 10_000
     partitions: int | None = None
     collect_stats: bool = False
+    broadcast_rows: int = 100_000
 
     @property
     def join_hint(self) -> str | None:
-        hints = {None: None, "broadcast": "broadcast", "shuffle": "shuffle_hash", "sortmerge": "merge"}
+        # what is broadcast is chosen by its size
+        hints = {None: None, "broadcast": None, "shuffle": "shuffle_hash", "sortmerge": "merge"}
         if self.join_type not in hints:
             raise DatalogError(f"join_type is broadcast, shuffle or sortmerge, not {self.join_type!r}")
         return hints[self.join_type]
 
 
+    def fits(self, rows: DataFrame) -> bool:
+        """Whether rows are few enough to broadcast."""
+        return self.broadcast_rows > 0 and rows.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
+
+
 @dataclass
 class Round:
     """What a round did: facts that it derived (if collected) and those that were new, for each predicate."""
@@ -71,6 +84,11 @@ class Relation:
         self.keys = [f"c{k}" for k in keyed_by] or self.columns
         self.parts: list[DataFrame] = []
         self.delta: DataFrame | None = None
+        #: Parts keep their partitioning.
+        self.in_place = False
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        return stored(rows, self.in_place)
 
     @property
     def total(self) -> DataFrame:
@@ -83,22 +101,29 @@ class Relation:
         return rows.repartition(self.options.partitions, *self.keys) if self.options.partitions else rows
 
     def begin(self, rows: DataFrame) -> int:
-        self.delta = stored(self.placed(self.shaped(rows).distinct()))
+        self.delta = self.kept(self.placed(self.shaped(rows).distinct()))
         self.parts = [self.delta]
         return self.delta.count()
 
     def step(self, rows: DataFrame) -> int:
         """Takes a round's candidates; how many were new."""
-        known = self.total.alias("o")
-        fresh = self.placed(self.shaped(rows).distinct()).alias("n").join(known, same(self.columns, "n", "o"), "left_anti")
-        self.delta = stored(fresh)
-        count = self.delta.count()
+        fresh = self.placed(self.shaped(rows).distinct())
+        for known in self.parts if self.in_place else [self.total]:
+            fresh = fresh.alias("n").join(known.alias("o"), same(self.columns, "n", "o"), "left_anti")
+        self.delta = self.kept(fresh)
+        return self.added(self.delta.count())
+
+    def added(self, count: int) -> int:
         if count:
             self.parts.append(self.delta)
             if len(self.parts) > self.options.compact_every:
-                self.parts = [stored(self.placed(self.total))]
+                self.parts = [self.kept(self.merged())]
         return count
 
+    def merged(self) -> DataFrame:
+        # distinct only to hash the facts: they are distinct
+        return self.total.distinct() if self.in_place and not self.options.partitions else self.placed(self.total)
+
 
 class BestRelation(Relation):
     """Keys and their least (mmin) or greatest (mmax) value, which is the last column."""
@@ -115,22 +140,29 @@ class BestRelation(Relation):
         value = (F.min if self.function == "mmin" else F.max)(self.last).alias(self.last)
         return rows.groupBy(*self.group).agg(value).where(F.col(self.last).isNotNull())
 
+    @property
+    def total(self) -> DataFrame:
+        rows = reduce(DataFrame.union, self.parts)
+        return self.best(rows) if len(self.parts) > 1 else rows
+
     def begin(self, rows: DataFrame) -> int:
-        self.delta = stored(self.placed(self.best(rows)))
+        self.delta = self.kept(self.placed(self.best(rows)))
         self.parts = [self.delta]
         return self.delta.count()
 
     def step(self, rows: DataFrame) -> int:
-        new, old = F.col(f"n.{self.last}"), F.col(f"o.{self.last}")
-        better = (new < old) if self.function == "mmin" else (new > old)
-        condition = same(self.group, "n", "o") if self.group else F.lit(True)
-        joined = self.placed(self.best(rows)).alias("n").join(self.total.alias("o"), condition, "left")
-        self.delta = stored(joined.where(old.isNull() | better).select(*(F.col(f"n.{c}") for c in self.columns)))
-        count = self.delta.count()
-        if count:
-            kept = self.total.alias("o").join(self.delta.alias("n"), condition, "left_anti")
-            self.parts = [stored(kept.union(self.delta))]
-        return count
+        """A part holds the values that a round made better; of a key's values in several parts the best counts."""
+        fresh = self.placed(self.best(rows)).withColumnRenamed(self.last, "new").withColumn("old", F.lit(None).cast(self.types[-1]))
+        for known in self.parts if self.in_place else [self.total]:
+            condition = same(self.group, "n", "o") if self.group else F.lit(True)
+            old = (F.least if self.function == "mmin" else F.greatest)(F.col("n.old"), F.col(f"o.{self.last}"))
+            fresh = fresh.alias("n").join(known.alias("o"), condition, "left").select(*(F.col(f"n.{c}").alias(c) for c in self.group), F.col("n.new").alias("new"), old.alias("old"))
+        better = F.col("new") < F.col("old") if self.function == "mmin" else F.col("new") > F.col("old")
+        self.delta = self.kept(fresh.where(F.col("old").isNull() | better).select(*self.group, F.col("new").alias(self.last)))
+        return self.added(self.delta.count())
+
+    def merged(self) -> DataFrame:
+        return self.placed(self.total)
 
 
 class SumRelation(Relation):
@@ -179,13 +211,23 @@ class Recursion:
 
     def __init__(self, spark: SparkSession, group: list[str], rules: list[Rule], known: dict[str, DataFrame], options: Options, bounds: dict[str, dict[int, object]]):
         self.spark, self.group, self.options, self.bounds = spark, group, options, bounds
-        self.known = {p: stored(df) if options.cache_build_side else df for p, df in known.items()}
         self.rules = [r for r in rules if r.head.predicate in group]
+        self.known = {p: stored(df) if options.cache_build_side else df for p, df in known.items()}
+        #: Relations that don't change and are small enough to broadcast.
+        self.small = {p for p in self.joined() & self.known.keys() if options.join_type in (None, "broadcast") and options.fits(self.known[p])}
         self.exits = [r for r in self.rules if not self.places(r)]
         self.recursive = [r for r in self.rules if self.places(r)]
         self.relations: dict[str, Relation] = {}
         self.rounds: list[Round] = []
 
+    def joined(self) -> set[str]:
+        """What recursive rules join with or negate, besides the group."""
+        return {a.predicate for r in self.rules if self.places(r) for a in r.body if isinstance(a, Atom)} - {*self.group}
+
+    def narrow(self, p: str) -> bool:
+        """Whether the recursive rules of a predicate join one recursive literal with relations that are broadcast."""
+        return all(len(self.places(r)) == 1 and all(a.predicate in self.small for a in r.body if isinstance(a, Atom) and a.predicate not in self.group) for r in self.rules if r.head.predicate == p and self.places(r))
+
     def places(self, r: Rule) -> list[int]:
         """Where a rule's body reads the group."""
         return [k for k, a in enumerate(r.body) if isinstance(a, Atom) and not a.negated and a.predicate in self.group]
@@ -197,7 +239,8 @@ class Recursion:
     def derive(self, r: Rule, place: int | None) -> DataFrame:
         def facts(k: int, atom: Atom) -> DataFrame:
             if atom.predicate not in self.group:
-                return self.known[atom.predicate]
+                known = self.known[atom.predicate]
+                return F.broadcast(known) if place is not None and atom.predicate in self.small else known
             relation = self.relations[atom.predicate]
             return relation.delta if k == place else relation.total
 
@@ -247,6 +290,7 @@ class Recursion:
         first = Round(0)
         for p in self.group:
             self.relations[p] = relation = self.relation(p, types[p])
+            relation.in_place = self.narrow(p) and not isinstance(relation, SumRelation)
             frames = [self.derive(r, None) for r in self.exits if r.head.predicate == p]
             if not frames:
                 keys = len(relation.by) if isinstance(relation, SumRelation) else 0

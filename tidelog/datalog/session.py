@@ -156,7 +156,13 @@ class Program:
         session = self.session
         frames, aggregate = [], False
         for r in rules:
-            rows = evaluate(session.spark, r, lambda k, atom: known[atom.predicate], None, session.options.join_hint)
+            first = next((k for k, a in enumerate(r.body) if isinstance(a, Atom) and not a.negated), None)
+
+            def facts(k: int, atom: Atom, first: int | None = first) -> DataFrame:
+                rows = known[atom.predicate]
+                return F.broadcast(rows) if session.options.join_type == "broadcast" and k != first and session.options.fits(rows) else rows
+
+            rows = evaluate(session.spark, r, facts, None, session.options.join_hint)
             last = r.head.terms[-1] if r.head.terms else None
             if isinstance(last, Aggregate) and last.monotonic:
                 # outside recursion a monotonic aggregate is the plain one

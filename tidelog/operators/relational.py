@@ -97,7 +97,8 @@ def join_broadcast(t):
 
 def _hinted(name: str, hint: str) -> None:
     def run(t):
-        return t("lineitem").join(t("orders").hint(hint), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+        orders = small(t("orders")) if hint == "broadcast" else t("orders").hint(hint)
+        return t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
     run.__name__ = name
     query("SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")(run)
