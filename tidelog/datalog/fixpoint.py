@@ -33,7 +33,7 @@ class Options:
     join_type: broadcast (of what is small enough), shuffle or sortmerge for the base side of joins; None broadcasts in
     recursion and else leaves it to Spark. union_distinct: rules of
     one predicate are made distinct together. use_partial: monotonic aggregates are aggregated before the shuffle.
-    cache_build_side: relations that don't change are written once before the rounds. compact_every: rounds after which the
+    cache_build_side: relations that recursive rules join with are written once before the rounds. compact_every: rounds after which the
     facts so far become one frame. max_iterations: more rounds raise an error. partitions: of the facts, hashed by the
     arguments that recursion passes on; None hashes them by all. collect_stats: count the facts that each round derives.
     broadcast_rows: up to so many rows a relation that doesn't change is broadcast; 0 leaves it to Spark."""
@@ -41,7 +41,7 @@ class Options:
     join_type: str | None = None
     union_distinct: bool = True
     use_partial: bool = True
-    cache_build_side: bool = False
+    cache_build_side: bool = True
     compact_every: int = 8
     max_iterations: int = 10_000
     partitions: int | None = None
@@ -212,7 +212,10 @@ class Recursion:
     def __init__(self, spark: SparkSession, group: list[str], rules: list[Rule], known: dict[str, DataFrame], options: Options, bounds: dict[str, dict[int, object]]):
         self.spark, self.group, self.options, self.bounds = spark, group, options, bounds
         self.rules = [r for r in rules if r.head.predicate in group]
-        self.known = {p: stored(df) if options.cache_build_side else df for p, df in known.items()}
+        self.known = dict(known)
+        if options.cache_build_side:
+            # each round joins with these: they are computed once
+            self.known |= {p: stored(self.known[p]) for p in self.joined() & known.keys()}
         #: Relations that don't change and are small enough to broadcast.
         self.small = {p for p in self.joined() & self.known.keys() if options.join_type in (None, "broadcast") and options.fits(self.known[p])}
         self.exits = [r for r in self.rules if not self.places(r)]
