@@ -7,10 +7,13 @@ import gc
 import sys
 import tempfile
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.java_gateway import JavaClass, JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a Python operator works on, whatever the size of Spark's batches.
@@ -39,6 +42,35 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """materialise, for operators of many steps: then the driver collects its garbage, so that plans, stored copies and
+    shuffle files that nothing refers to go at once, and gives the memory back."""
+    done = materialise(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    trim_driver(df.sparkSession)
+    return done
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Returns what the driver's JVM has freed outside its heap to the system, as give_back does for workers: its many
+    short-lived threads leave much of it. A JVM without that command keeps it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind: JavaClass, *items: object) -> JavaObject:
+        made = gateway.new_array(kind, len(items))
+        for k, item in enumerate(items):
+            made[k] = item
+        return made
+
+    lang, name = jvm.java.lang, "com.sun.management:type=DiagnosticCommand"
+    kinds = array(lang.Class, *map(lang.Class.forName, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    invoke = lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds)
+    arguments = array(lang.Object, jvm.javax.management.ObjectName(name), "systemTrimNativeHeap", array(lang.Object), array(lang.String))
+    with suppress(Py4JJavaError):
+        invoke.invoke(lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into slices of about chunk_bytes of text; a longer text stands alone, whole."""
     for batch in batches:

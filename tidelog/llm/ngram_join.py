@@ -1,8 +1,9 @@
 """Self-join of documents by the Jaccard similarity of their word n-grams, as a size-aware heavy-light join.
 
 Documents of equal sets are one class, and classes are joined. The order of tokens is global: by hash, then those of
-many documents, the rarer first; how many have a token is counted over all documents, for half of the tokens, and the
-other half comes last. The order bears on cost, not on the result.
+many documents by how many, in steps of three times as many; these are counted over all documents, for half of the
+tokens, and the other half comes last. The steps are kept in a map of fixed size, in which tokens can share a place: then
+both take the step of the more frequent one. The order bears on cost, not on the result.
 
 Light sets (size up to a boundary) enumerate all subsets of the size that a pair of sizes must share; sets under one
 subset are linked without more ado. Heavy sets, and light ones close enough in size, scan inverted lists: a set enters
@@ -16,9 +17,10 @@ lists they share, if their first tokens share enough. No pair that can be a link
 comparisons are exact on the whole sets.
 
 Defined cases: a null text counts as empty; empty sets are linked with nothing; fewer words than n are one n-gram, the
-whole sequence; repeated rows and equal sets are one class; rows of one id are one document, linked if their texts differ;
-rows of a null id have a null component and link nothing; an empty table gives no rows; other columns are ignored,
-whatever their names. No text is too long.
+whole sequence; repeated rows and equal sets are one class; rows of one id with different texts are documents of their own, each
+with the component of its own set; rows of a null id have a null component and link nothing; an empty table gives no
+rows; other columns are ignored, whatever their names. A text's distinct n-grams can take 2 GB, Spark's own limit for a
+value.
 """
 
 from __future__ import annotations
@@ -30,11 +32,13 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import binary_column
-from tidelog.llm.common import materialise, text_chunks
+from tidelog.llm.common import give_back, text_chunks
+from tidelog.llm.common import settle as materialise
 from tidelog.llm.components import components
 from tidelog.llm.spans import mixed, ranges, span_hashes, words_of
 from tidelog.llm.words import window_hashes
@@ -42,13 +46,16 @@ from tidelog.llm.words import window_hashes
 #: Tokens are hashes of 63 bits. Those below 2^COUNTED_BITS are counted: half, more than
 #: the first tokens of a set that isn't tiny. They are counted by their first COUNT_BYTES bytes.
 TOKEN_BITS, COUNTED_BITS, COUNT_BYTES = 63, 62, 6
-#: Bits of the map of counted tokens that two documents or more have; the map is broadcast.
-MAP_BITS = 27
-#: A counted token of more documents comes last in the order; so many of them at most, the most frequent.
-HOT, MOST_HOT = 8, 4_000_000
+#: The map of counted tokens has 2^MAP_BITS places of four bits, whatever the input: the step of how many documents have
+#: one, 0 for a single one. It is broadcast (32 MB).
+MAP_BITS = 26
+STEPS = 2 * 3 ** np.arange(15)
+#: Tokens of a higher step come after those that go by hash.
+EARLY = 1
 #: Text bytes for each bucket of the count, a power of two in number.
-BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 1 << 16
-FLUSH_TOKENS = 2_000_000
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 1 << 16
+FLUSH_TOKENS = 1_000_000
+#: A larger set would enumerate hundreds of subsets, more than it has tokens: no cost can choose that.
 LARGEST_LIGHT = 16
 #: Percent of its first tokens that a set shares with the centre of its family, at least.
 FAMILY = 10
@@ -99,19 +106,20 @@ def partners(s: int, percent: int) -> range:
     return range(-(-percent * s // 100), 100 * s // percent + 1)
 
 
-FACTS = "id long, n int, low long, high long, hot long, times long, bucket int, bits binary"
+FACTS = "id long, text_hash long, n int, low long, high long, bucket int, steps binary, uses double, squares double"
+OWN = ("id", "text_hash", "n", "low", "high")
 
 
 def count_tokens(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """The facts: rows of documents (id, n, and low and high of the set's fingerprint), of hot tokens and of parts of the
-    map of shared tokens; and how many buckets these parts are."""
+    """The facts: rows of documents (id, a hash of the text, n, and low and high of the set's fingerprint) and of parts of
+    the map, each with the sums of its less frequent tokens' uses and of their squares; and how many parts there are."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bucket_bits = min(max(4, (size // BUCKET_BYTES).bit_length()), MOST_BUCKETS.bit_length() - 1)
     buckets, shift = 1 << bucket_bits, np.uint64(COUNTED_BITS - bucket_bits) - CUT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        names = ["bucket", "id", "n", "low", "high", "tokens", "times"]
+        names = ["bucket", *OWN, "tokens", "times"]
 
         def counted() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(held) >> CUT, return_counts=True)
@@ -120,7 +128,7 @@ def count_tokens(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[D
             packed = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :COUNT_BYTES])
             there, at = np.unique(bucket, return_index=True)
             sizes = np.diff(np.r_[at, len(tokens)])
-            nulls = [pa.nulls(len(there), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+            nulls = [pa.nulls(len(there), facts_schema().field(c).type) for c in OWN]
             return pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *nulls, binary_column(packed.ravel(), sizes * COUNT_BYTES), binary_column(np.minimum(times, 255).astype(np.uint8), sizes)], names)
 
         for batch in text_chunks(batches, text_col):
@@ -132,7 +140,7 @@ def count_tokens(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[D
             low, high = ((x[ends[1:]] - x[ends[:-1]]).view(np.int64) for x in (sums, more))
             ids = batch.column(id_col).cast(pa.int64())
             none = pa.nulls(len(counts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array((low % buckets).astype(np.int32)), ids, pa.array(counts.astype(np.int32)), pa.array(low), pa.array(high), none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array((low % buckets).astype(np.int32)), ids, batch.column("_hash"), pa.array(counts.astype(np.int32)), pa.array(low), pa.array(high), none, none], names)
             if sum(map(len, held)) > FLUSH_TOKENS:
                 yield counted()
         if held:
@@ -148,24 +156,30 @@ def count_tokens(docs: DataFrame, n: int, id_col: str, text_col: str) -> tuple[D
         times = np.frombuffer(b"".join(packed["times"].to_pylist()), np.uint8)
         distinct, inverse = np.unique(tokens, return_inverse=True)
         times = np.bincount(inverse, times, len(distinct)).astype(np.int64)
-        hot = np.flatnonzero(times > HOT)
+        step = np.searchsorted(STEPS, times, side="right").astype(np.uint8)
         width = 1 << (MAP_BITS - bucket_bits)
-        bits = np.zeros(width, bool)
-        bits[((distinct[times > 1] >> (np.uint64(COUNTED_BITS - MAP_BITS) - CUT)) % np.uint64(width)).astype(np.int64)] = True
-        k, h, schema = own.num_rows, len(hot), facts_schema()
+        place = ((distinct >> (np.uint64(COUNTED_BITS - MAP_BITS) - CUT)) % np.uint64(width)).astype(np.int64)
+        steps = np.zeros(width, np.uint8)
+        if len(place):
+            begins = np.r_[0, np.flatnonzero(np.diff(place)) + 1]
+            steps[place[begins]] = np.maximum.reduceat(step, begins)
+        few = times[(step > 0) & (step <= EARLY)].astype(float)
+        schema = facts_schema()
+        part = [key[0].as_py(), (steps[::2] | steps[1::2] << 4).tobytes(), few.sum(), (few * few).sum()]
         rows = [
-            [*(own[c].combine_chunks() for c in ("id", "n", "low", "high")), *(pa.nulls(k, schema.field(c).type) for c in ("hot", "times", "bucket", "bits"))],
-            [*(pa.nulls(h, schema.field(c).type) for c in ("id", "n", "low", "high")), pa.array(distinct[hot].astype(np.int64)), pa.array(times[hot]), *(pa.nulls(h, schema.field(c).type) for c in ("bucket", "bits"))],
-            [*(pa.nulls(1, schema.field(c).type) for c in ("id", "n", "low", "high", "hot", "times")), pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()])],
+            [*(own[c].combine_chunks() for c in OWN), *(pa.nulls(own.num_rows, schema.field(c).type) for c in schema.names[len(OWN) :])],
+            [*(pa.nulls(1, schema.field(c).type) for c in OWN), *(pa.array([x], schema.field(c).type) for c, x in zip(schema.names[len(OWN) :], part, strict=True))],
         ]
+        give_back()
         return pa.concat_tables([pa.Table.from_arrays(r, schema=schema) for r in rows])
 
-    scanned = docs.select(id_col, text_col).mapInArrow(scan, "bucket int, id long, n int, low long, high long, tokens binary, times binary")
+    hashed = docs.select(id_col, text_col, F.xxhash64(F.col(text_col)).alias("_hash"))
+    scanned = hashed.mapInArrow(scan, "bucket int, id long, text_hash long, n int, low long, high long, tokens binary, times binary")
     return materialise(scanned.groupBy("bucket").applyInArrow(gather, FACTS)), buckets
 
 
 def facts_schema() -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in FACTS.split(", "))])
 
 
@@ -183,34 +197,25 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int) ->
     return min(range(LARGEST_LIGHT + 1), key=cost)
 
 
-def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shared: np.ndarray, boundary: int, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, low, n, where in the order its first tokens end, those whose lists it enters and its places there,
-    and the subsets it enumerates, each with the side of it that its size is."""
-    spark = docs.sparkSession
-    tokens, times = hot
-    by_token = np.argsort(tokens)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, times))] = np.arange(len(tokens))
-    sent = spark.sparkContext.broadcast((tokens[by_token], rank[by_token], shared))
+def postings(docs: DataFrame, sent: Broadcast, boundary: int, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: its id (as doc), low, n, where in the order its first tokens end, those whose lists it enters and its
+    places there, and the subsets it enumerates, each with the side of it that its size is. sent: the map."""
     least = -(-percent * (boundary + 1) // 100)  # a set this small can be like a heavy one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, rank, shared = sent.value
+        steps = sent.value
         for batch in text_chunks(batches, text_col):
             tokens, counts = token_sets(text_column(batch, text_col), n)
             starts = np.cumsum(counts) - counts
             doc = np.repeat(np.arange(len(counts)), counts)
             size = counts[doc]
             counted = tokens < np.uint64(1 << COUNTED_BITS)
-            # the order: counted tokens by hash, then hot ones by number, then those that aren't counted
-            key = tokens.astype(np.int64) + np.where(counted, np.iinfo(np.int64).min, 0)
-            early = counted
-            if len(hot):
-                cut = tokens >> CUT
-                at = np.minimum(np.searchsorted(hot, cut), len(hot) - 1)
-                late = counted & (hot[at] == cut)
-                key = np.where(late, rank[at] << int(CUT) | (tokens & np.uint64((1 << int(CUT)) - 1)).astype(np.int64), key)
-                early = counted & ~late
+            # the order: counted tokens by hash, then the frequent ones by step and hash, then those that aren't counted
+            at = (tokens[counted] >> np.uint64(COUNTED_BITS - MAP_BITS)).astype(np.int64)
+            step = np.zeros(len(tokens), np.int64)
+            step[counted] = steps[at >> 1] >> ((at & 1) << 2).astype(np.uint8) & 15
+            early, plain = counted & (step <= EARLY), tokens.astype(np.int64)
+            key = np.where(early, plain + np.iinfo(np.int64).min, np.where(counted, step << 58 | plain >> 4, plain))
             earlies = np.r_[0, np.cumsum(early)]
             n_early = earlies[starts + counts] - earlies[starts]
             first = size - -(-percent * size // 100) + 1
@@ -224,9 +229,7 @@ def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shared: np.nda
             end = np.zeros(len(counts), np.int64)
             end[doc[last]] = key[last]
             lists = (place < first) & (size >= least)
-            known = np.flatnonzero(lists & counted)
-            bit = (tokens[known] >> np.uint64(COUNTED_BITS - MAP_BITS)).astype(np.int64)
-            lists[known] = (shared[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1
+            lists &= ~counted | (step > 0)
             sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mixed(tokens))]
             low = (sums[starts + counts] - sums[starts]).view(np.int64)
             kept = np.bincount(doc[lists], minlength=len(counts))
@@ -245,10 +248,10 @@ def postings(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], shared: np.nda
                     pa.array(keys, pa.list_(pa.int64())),
                     pa.array(sides, pa.list_(pa.int32())),
                 ],
-                ["id", "low", "n", "end", "tokens", "places", "subsets", "sides"],
+                ["doc", "low", "n", "end", "tokens", "places", "subsets", "sides"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, low long, n int, end long, tokens array<long>, places array<int>, subsets array<long>, sides array<int>")
+    return docs.select(id_col, text_col).mapInArrow(run, "doc long, low long, n int, end long, tokens array<long>, places array<int>, subsets array<long>, sides array<int>")
 
 
 def subset_keys(tokens: np.ndarray, boundary: int, percent: int) -> tuple[list[int], list[int]]:
@@ -277,11 +280,11 @@ def light_links(entered: DataFrame) -> DataFrame:
     return rows.join(least, "key").select(F.col("id").alias("a"), other.alias("b")).where("b IS NOT NULL AND a <> b").distinct()
 
 
-def set_rows(docs: DataFrame, wanted: DataFrame, small: bool, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Of wanted rows (id, low and others), each with its `tokens` as bytes. Rows of an id that have another set are left."""
-    others = [f for f in wanted.schema if f.name not in ("id", "low")]
-    names = ["id", *(f.name for f in others)]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted) if small else wanted, "id")
+def set_rows(docs: DataFrame, wanted: DataFrame, small: bool, classes: "Classes", n: int, id_col: str, text_col: str) -> DataFrame:
+    """Of wanted classes (id and other columns), each with its `tokens` as bytes, from the document that stands for it."""
+    names = wanted.columns
+    wanted = wanted.join(classes.rows.select("id", "doc", "low"), "id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text")).join(F.broadcast(wanted) if small else wanted, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, "_text"):
@@ -292,31 +295,29 @@ def set_rows(docs: DataFrame, wanted: DataFrame, small: bool, n: int, id_col: st
             out = pa.RecordBatch.from_arrays([*map(batch.column, names), binary_column(tokens, counts)], [*names, "tokens"])
             yield out.filter(pa.array(right))
 
-    return rows.select(*names, "low", "_text").mapInArrow(run, ", ".join(["id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "tokens binary"]))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name in names)
+    return classes.once(rows.select(*names, "low", "_text").mapInArrow(run, f"{types}, tokens binary"))
 
 
-def spread(pairs: DataFrame, one: str, other: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs with a salt that deals the partners of a much wanted `other` out to several tasks, and how many each has."""
+def spread(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """Pairs, stored, with a salt that deals the partners of a much wanted `other` out to several tasks, and its salts."""
     salts = pairs.groupBy(other).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    return pairs.join(salts, other).select(one, other, F.pmod(F.xxhash64(one), F.col("salts")).cast("int").alias("salt")), salts
+    return materialise(pairs.join(salts, other).select(one, other, "salts", F.pmod(F.xxhash64(one), F.col("salts")).cast("int").alias("salt")))
 
 
 def salts_of(salts: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(salts) - 1)).alias("salt")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are links. A set travels once for each of its pairs as a, and once as b."""
-    pairs = materialise(pairs)
-    count = pairs.count()
-    small = count <= BROADCAST_ROWS
-    lows = classes.select("id", "low")
-    salted, salts = spread(pairs, "a", "b")
-    of_a = salted.groupBy("a").agg(F.collect_set(F.struct("b", "salt")).alias("bs")).withColumnRenamed("a", "id").join(lows, "id")
-    of_b = salts.withColumnRenamed("b", "id").join(lows, "id")
-    a = set_rows(docs, of_a, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"), F.explode("bs").alias("at"))
+def verified(docs: DataFrame, pairs: DataFrame, classes: "Classes", n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The stored pairs (a, b) that are links. A set travels once for each of its pairs as a, and once as b."""
+    salted = spread(pairs, "a", "b")
+    small = salted.count() <= BROADCAST_ROWS
+    of_a = salted.groupBy("a").agg(F.collect_set(F.struct("b", "salt")).alias("bs")).withColumnRenamed("a", "id")
+    of_b = salted.select(F.col("b").alias("id"), "salts").distinct()
+    a = set_rows(docs, of_a, small, classes, n, id_col, text_col).select(F.col("id").alias("a"), F.col("tokens").alias("a_tokens"), F.explode("bs").alias("at"))
     a = a.select("a", "a_tokens", "at.b", "at.salt")
-    b = set_rows(docs, of_b, small, n, id_col, text_col).dropDuplicates(["id"]).select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"), salts_of("salts"))
+    b = set_rows(docs, of_b, small, classes, n, id_col, text_col).select(F.col("id").alias("b"), F.col("tokens").alias("b_tokens"), salts_of("salts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,23 +332,22 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
                 both = int((large[at] == small).sum())
                 linked.append(100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        give_back()
 
     return materialise(a.join(b, ["b", "salt"]).select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long"))
 
 
-def family_pairs(docs: DataFrame, families: DataFrame, classes: DataFrame, parts: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def family_pairs(docs: DataFrame, families: DataFrame, classes: "Classes", parts: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs of one family from different components that may be similar. families: id and its centre, pivot.
 
     Of a set only the difference from its pivot matters: two sets differ by the difference of these differences. Sets of
     different components aren't both linked to the pivot, so one is further from it than links reach; then similar ones
     must share about half of the nearer one's difference, and what few members share comes first in its order. So the
     members of a family that changed in ways of their own don't meet, however many they are."""
-    lows = classes.select("id", "low")
-    count = families.count()
-    small = count <= BROADCAST_ROWS
-    salted, salts = spread(families, "id", "pivot")
-    own = set_rows(docs, salted.join(lows, "id"), small, n, id_col, text_col).dropDuplicates(["id"])
-    pivots = set_rows(docs, salts.withColumnRenamed("pivot", "id").join(lows, "id"), small, n, id_col, text_col).dropDuplicates(["id"])
+    salted = spread(families, "id", "pivot")
+    small = salted.count() <= BROADCAST_ROWS
+    own = set_rows(docs, salted.select("id", "pivot", "salt"), small, classes, n, id_col, text_col)
+    pivots = set_rows(docs, salted.select(F.col("pivot").alias("id"), "salts").distinct(), small, classes, n, id_col, text_col)
     pivots = pivots.select(F.col("id").alias("pivot"), F.col("tokens").alias("pivot_tokens"), salts_of("salts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +361,7 @@ def family_pairs(docs: DataFrame, families: DataFrame, classes: DataFrame, parts
             offsets = pa.array(np.cumsum([0, *map(len, deltas)]).astype(np.int32))
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *deltas]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("pivot"), pa.array(sizes, pa.int32()), pa.array(centre_sizes, pa.int32()), pa.ListArray.from_arrays(offsets, flat)], ["id", "pivot", "s", "c", "delta"])
+        give_back()
 
     members = own.join(pivots, ["pivot", "salt"]).select("id", "pivot", "tokens", "pivot_tokens").mapInArrow(run, "id long, pivot long, s int, c int, delta array<long>")
     members = materialise(members.withColumn("d", F.size("delta")).join(parts.select("id", "component"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
@@ -419,11 +420,12 @@ def best_centres(lists: DataFrame, centres: DataFrame, percent: int) -> DataFram
 
 
 def weighed(lists: DataFrame) -> DataFrame:
-    """Adds `weight` to postings: the lengths of all lists that their set is in. The text that others were made from has
-    the greatest, as its tokens are in most of them."""
-    lengths = lists.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
-    weights = lists.join(lengths, "token").groupBy("id").agg(F.sum("length").alias("weight"))
-    return lists.join(weights, "id").select(*LIST, "weight")
+    """Postings of lists that more than one set is in, with `weight`: the lengths of all lists that their set is in. The text
+    that others were made from has the greatest, as its tokens are in most of them."""
+    lengths = lists.groupBy("token").agg(F.min("id").alias("m"), F.max("id").alias("k"), F.count(F.lit(1)).alias("length")).where("m <> k")
+    busy = lists.join(lengths.select("token", "length"), "token")
+    weights = busy.groupBy("id").agg(F.sum("length").alias("weight"))
+    return busy.join(weights, "id").select(*LIST, "weight")
 
 
 def leaders(lists: DataFrame, *within: str) -> DataFrame:
@@ -432,29 +434,44 @@ def leaders(lists: DataFrame, *within: str) -> DataFrame:
     return lists.groupBy("token", *within).agg(first).select("token", *within, F.col("first.id").alias("centre"))
 
 
-def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_light: int | None = None) -> DataFrame:
-    """Per row: the id, n_shingles and component_id, the smallest id that its links reach (itself included)."""
+class Classes:
+    """Sets that differ: id, doc (the least id of a document that has the set), n, low and high."""
+
+    def __init__(self, own: DataFrame):
+        rows = own.groupBy("low", "high", "n", F.col("id").alias("doc")).agg(F.count(F.lit(1)).alias("copies"))
+        first = rows.groupBy("low", "high", "n").agg(F.min(F.struct("doc", "copies")).alias("first"))
+        # numbers that the stored copy fixes
+        self.rows = materialise(first.select("low", "high", "n", "first.doc", "first.copies").withColumn("id", F.monotonically_increasing_id()))
+        facts = self.rows.agg(F.max("copies"), *(F.count(F.when(F.col("n") == k, 1)) for k in range(1, LARGEST_LIGHT + 1))).first()
+        self.repeated = (facts[0] or 1) > 1
+        self.sizes = {k: facts[k] for k in range(1, LARGEST_LIGHT + 1)}
+
+    def once(self, rows: DataFrame) -> DataFrame:
+        """Drops rows that repeated rows of documents have made."""
+        return rows.dropDuplicates(["id"]) if self.repeated else rows
+
+
+def linked_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, most_light: int | None) -> DataFrame:
+    """Per row: id, text_hash, n (of the set) and component_id."""
     spark = docs.sparkSession
     facts, buckets = count_tokens(docs, n, id_col, text_col)
-    rows = facts.where("n IS NOT NULL").select("id", "n", "low", "high")
-    own = rows.where("id IS NOT NULL AND n > 0")
-    classes = materialise(own.groupBy("low", "high", "n").agg(F.min("id").alias("id")).select("id", "n", "low", "high"))
-    hot = facts.where("hot IS NOT NULL").select("hot", "times").orderBy(F.desc("times"), "hot").limit(MOST_HOT)
-    hot = hot.toArrow()
-    hot_tokens = (hot["hot"].to_numpy().astype(np.uint64), hot["times"].to_numpy())
-    shared = np.zeros(1 << MAP_BITS - 3, np.uint8)
-    width = (1 << MAP_BITS - 3) // buckets
-    for r in facts.where("bits IS NOT NULL").select("bucket", "bits").collect():
-        shared[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint8)
-    sizes = {r[0]: r[1] for r in classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()}
-    boundary = choose_boundary(sizes, 2.0, percent) if most_light is None else most_light
-
-    entered = postings(docs, hot_tokens, shared, boundary, n, percent, id_col, text_col).where("size(tokens) + size(subsets) > 0")
-    entered = materialise(entered.join(classes.select("id", "low"), ["id", "low"], "left_semi").dropDuplicates(["id", "low"]))
-    links = materialise(light_links(entered))
+    rows = facts.where("n IS NOT NULL").select(*OWN)
+    classes = Classes(rows.where("id IS NOT NULL AND n > 0"))
+    steps, uses, squares = np.zeros(1 << MAP_BITS - 1, np.uint8), 0.0, 0.0
+    width = len(steps) // buckets
+    for r in facts.where("steps IS NOT NULL").select("bucket", "steps", "uses", "squares").coalesce(4).toLocalIterator():
+        steps[r[0] * width : (r[0] + 1) * width] = np.frombuffer(r[1], np.uint8)
+        uses, squares = uses + r[2], squares + r[3]
+    # the mean length of the list of a use, over the tokens that come first in the order
+    boundary = choose_boundary(classes.sizes, squares / max(1.0, uses), percent) if most_light is None else most_light
+    sent = spark.sparkContext.broadcast(steps)
+    del steps
+    entered = postings(docs, sent, boundary, n, percent, id_col, text_col).where("size(tokens) + size(subsets) > 0")
+    entered = materialise(classes.once(entered.join(classes.rows.select("id", "doc", "low"), ["doc", "low"])))
+    sent.destroy()
+    links = light_links(entered)
     lists = entered.select("id", "n", "end", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "id", "n", F.col("t.places").alias("place"), "end")
-    busy = lists.groupBy("token").agg(F.min("id").alias("m"), F.max("id").alias("k")).where("m <> k").select("token")
-    lists = materialise(weighed(lists.join(busy, "token").select(*LIST)))
+    lists = materialise(weighed(lists))
 
     # each set against its centre
     centres = materialise(best_centres(lists, leaders(lists), percent))
@@ -462,26 +479,57 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     for _ in range(ROOT_STEPS):
         # a centre that has one itself hands its family on; weights grow that way, so this ends
         above = families.select(F.col("id").alias("pivot"), F.col("pivot").alias("above"))
-        families = materialise(families.join(above, "pivot", "left").select("id", F.coalesce("above", "pivot").alias("pivot")))
-    tried = centres.where("may").select("a", "b").union(families.select("id", "pivot")).distinct()
+        families = families.join(above, "pivot", "left").select("id", F.coalesce("above", "pivot").alias("pivot"))
+    families = materialise(families)
+    tried = materialise(centres.where("may").select("a", "b").union(families.select("id", "pivot")).distinct())
     heads = families.select(F.col("pivot").alias("id")).distinct().join(families, "id", "left_anti")
-    families = materialise(families.union(heads.select("id", F.col("id").alias("pivot"))))
+    families = families.union(heads.select("id", F.col("id").alias("pivot")))
     links = materialise(links.union(verified(docs, tried, classes, n, percent, id_col, text_col)))
-    parts = materialise(components(links))
+    del entered, centres
+    parts = components(links)
     # then what is left: pairs from different components, by what they change of their family's centre, or by all lists
     marked = lists.join(parts.select("id", F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
     several = marked.groupBy("token").agg(F.min("part").alias("m"), F.max("part").alias("k")).where("m <> k").select("token")
-    lists = marked.join(several, "token").join(families, "id", "left").select(*LIST, "part", "pivot")
+    lists = materialise(marked.join(several, "token").join(families, "id", "left").select(*LIST, "part", "pivot"))
     apart = (F.col("x.part") != F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & ~F.coalesce(F.col("x.pivot") == F.col("y.pivot"), F.lit(False))
     rest = meetings(lists, lists, apart, percent).where("may").select("a", "b")
-    mixed_families = families.join(parts.select("id", "component"), "id", "left").groupBy("pivot").agg(F.min(F.coalesce("component", "id")).alias("m"), F.max(F.coalesce("component", "id")).alias("k")).where("m <> k").select("pivot")
-    inside = family_pairs(docs, materialise(families.join(mixed_families, "pivot", "left_semi").select("id", "pivot")), classes, parts, n, percent, id_col, text_col)
-    rest = rest.union(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    found = materialise(verified(docs, rest, classes, n, percent, id_col, text_col))
-    if found.take(1):
-        parts = components(links.union(found))
-    classed = classes.join(parts.select("id", "component"), "id", "left").select("low", "high", F.col("n").alias("_n"), F.coalesce("component", "id").alias("component"))
+    spans = families.join(parts.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed_families = spans.groupBy("pivot").agg(F.min("component").alias("m"), F.max("component").alias("k")).where("m <> k").select("pivot")
+    several_parts = materialise(families.join(mixed_families, "pivot", "left_semi").select("id", "pivot"))
+    if several_parts.take(1):
+        rest = rest.union(family_pairs(docs, several_parts, classes, parts, n, percent, id_col, text_col))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialise(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    del lists, families, tried
+    if rest.take(1):
+        found = verified(docs, rest, classes, n, percent, id_col, text_col)
+        if found.take(1):
+            parts = components(links.union(found))
+    classed = materialise(classes.rows.join(parts.select("id", "component"), "id", "left").select("low", "high", F.col("n").alias("_n"), "doc", F.coalesce("component", "id").alias("part")))
+    least = classed.groupBy("part").agg(F.min("doc").alias("component_id"))
+    classed = classed.join(least, "part").select("low", "high", "_n", "component_id")
     result = rows.alias("r").join(classed.alias("c"), (F.col("r.low") == F.col("c.low")) & (F.col("r.high") == F.col("c.high")) & (F.col("r.n") == F.col("c._n")), "left")
-    component = F.when(F.col("r.id").isNull(), F.lit(None)).otherwise(F.coalesce("c.component", "r.id"))
-    return result.select(F.col("r.id").alias(id_col), F.col("r.n").cast("long").alias("n_shingles"), component.cast("long").alias("component_id"))
+    component = F.when(F.col("r.id").isNotNull(), F.coalesce("c.component_id", "r.id"))
+    return result.select("r.id", "r.text_hash", "r.n", component.alias("component_id"))
+
+
+def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_light: int | None = None) -> DataFrame:
+    """Per row: the id, n_shingles and component_id, the smallest id that its links reach (itself included)."""
+    found = linked_sets(docs, n, percent, id_col, text_col, most_light)
+    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay when each group of linked documents keeps one: the least id, and of several rows with
+    that id one of the least text hash. Rows without an id or without words stay, all of them."""
+    found = linked_sets(docs, n, percent, id_col, text_col, None).where("id IS NOT NULL AND n > 0")
+    rows = found.groupBy("component_id", F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).agg(F.count(F.lit(1)).alias("_copies"))
+    first = materialise(rows.groupBy("component_id").agg(F.min(F.struct("_id", "_text_hash", "_copies")).alias("first")).select("first.*"))
+    words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    here = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text_hash": F.xxhash64(F.col(text_col))})
+    key = ["_id", "_text_hash"]
+    several = first.where("_copies > 1")
+    kept = here.join(first.where("_copies = 1"), key, "left_semi").select(docs.columns)
+    if several.take(1):
+        kept = kept.union(here.join(several, key, "left_semi").dropDuplicates(key).select(docs.columns))
+    return kept.union(docs.where(F.col(id_col).isNull() | ~words))
