@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidelog.llm.common import shared_dir, table
-from tidelog.llm.ngram_join import similar_documents
+from tidelog.llm.ngram_join import one_of_each
 from tidelog.llm.packing import pack, token_pieces
 from tidelog.llm.quality import keep_good, train
 from tidelog.llm.secrets import redact_secrets
@@ -22,11 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, *train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that similarity links; those without an id stay."""
-    groups = similar_documents(docs, 5, 80)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similarity links; those without words or without an id stay."""
+    return one_of_each(docs, 5, 80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), 1024, 2), 1024)
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", one_of_each), ("secret scans", secrets), ("best-fit packing", packing)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_copies), ("secret scans", secrets), ("best-fit packing", packing)]
 
 ORACLE_SQL = None
 
