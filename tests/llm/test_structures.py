@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidelog.llm import ngram_join
+from tidelog.llm import maxscore, ngram_join
 from tidelog.llm.chat import format_conversations, loss_text
 from tidelog.llm.components import components
 from tidelog.llm.maxscore import search
@@ -112,13 +112,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize(("rows", "size"), [(4096, 1024), (7, 2)])
-def test_search(spark, rows, size):
+@pytest.mark.parametrize(("rows", "size", "first"), [(4096, 1 << 20, 4096), (7, 20, 0)])
+def test_search(spark, rows, size, first, monkeypatch):
+    monkeypatch.setattr(maxscore, "FIRST_ROWS", first)
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in rng.normal(size=8).round(1)], "clash") for i in range(300)]
     vectors += [(900 + k, vectors[10][1], "copy") for k in range(4)] + [(950, None, ""), (951, [1.0, None], ""), (952, [float("nan")] * 8, ""), (None, [1.0] * 8, ""), (953, [], ""), (1000, [1.0, 2.0], ""), (1001, [2.0, 1.0], ""), (1050, [0.5] * 8, ""), (1050, [0.5] * 8, "")]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score string")
-    found = search(df, df.where("vec_id % 50 = 0"), 5, shard_rows=rows, block_queries=size).collect()
+    found = search(df, df.where("vec_id % 50 = 0"), 5, shard_rows=rows, block_values=size).collect()
     sound = [(i, np.floor(np.array(v) * 256)) for i, v, _ in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for q in sorted({i for i, _ in sound if i % 50 == 0}):
@@ -129,6 +130,27 @@ def test_search(spark, rows, size):
     assert search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_of_large_values(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [1e30]), (2, [-1e30]), (3, [-0.001])], "vec_id long, embedding array<double>")
+    found = search(df, df.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(1, int(maxscore.LONG)), (3, -int(maxscore.LONG)), (2, -int(maxscore.LONG))]
+
+
+def test_share_of_products():
+    """On vectors without any structure, the hardest case, the floor of a sample leaves less than all to be multiplied."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None])
+    queries, ids = x[:64], np.arange(len(x))
+    scores = queries @ x.T
+    scores[np.arange(64), np.arange(64)] = -np.inf
+    floors = np.partition(scores[:, :4096], -5, axis=1)[:, -5]
+    best = maxscore.Best(64, 5)
+    done = sum(maxscore.traverse(ids[a : a + 4096], x[a : a + 4096], ids[:64], queries, floors, best) for a in range(0, len(x), 4096))
+    assert (best.scores == -np.sort(-scores, axis=1)[:, :5]).all()
+    assert done < 0.65 * queries.size * len(x)
+
+
 PIECES = ["</s>", "<s>", "[INST]", "[/INST]", "[ROLE=x]", "\\", "[", "]", "<", " ", "\n", "é", "ok", "\\\\", "</s"]
 
 
@@ -148,6 +170,9 @@ def test_chat_round_trip(spark):
         assert r.loss == "".join(t for role, t in expected if role == "assistant")
         spans = [re.sub(r"\\([\\<\[\]])", r"\1", r.formatted[s.start : s.end]) for s in r.loss_spans]
         assert spans == [t for role, t in expected if role == "assistant"]
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["end"].alias("end")))
+    broken = format_conversations(df).withColumn("loss_spans", moved).select(loss_text().alias("loss")).collect()
+    assert sorted(r.loss for r in broken) != sorted(r.loss for r in rows)
     assert format_conversations(df.limit(0)).count() == 0
 
 

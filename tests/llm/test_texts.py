@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -15,8 +17,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tidelog.llm import html_extract
 from tidelog.llm.bpe import bpe_encode_decode, byte_bpe
-from tidelog.llm.html_extract import Page, extract_pages, main_text
+from tidelog.llm.html_extract import SAME_CLASS, SAME_TEXT, Page, extract_pages, main_text, match
 from tidelog.llm.quality import PRIOR, PRIOR_CHAIN, judge_documents, keep_good, train, viterbi
 from tidelog.llm.secrets import DIGITS, redact_secrets, scan_secrets, spans_of
 from tidelog.llm.sharding import shard_documents
@@ -241,6 +244,59 @@ def test_names_inside_an_article():
     assert main_text(Page('<div><h2 id="how-to-share-code">share</h2><p class="comment">b</p><section id="related-work">a</section></div><div class="ad-box">x</div>'), set()) == "share\n\nb\n\na"
 
 
+@pytest.mark.parametrize("part", ["<a ", "<a b='", "<a \"'>", "<a '>' \">", "<!--", "<script>", "<div></p>", "<nav>", "<form><li></li>", "</", "<", "<a<a"])
+def test_broken_markup_takes_linear_time(part):
+    began = time.process_time()
+    page = Page("start " + part * (120_000 // len(part)))
+    assert page.leaves[0].text.startswith("start") and time.process_time() - began < 8
+
+
+def test_tags_and_quotes():
+    page = Page("<div class='a>b'>x</div><p title=\"un>y</p><!-- z --><b>w</b> 3 < 4 <!doctype> k <a href='q'>t</a><textarea><p>no</textarea>end<!--tail")
+    assert [leaf.text for leaf in page.leaves] == ["x", "y", "w 3 < 4 k tend"]
+
+
+def best_match(x, y):
+    """The greatest weight of a matching of two forests, by trying all."""
+    if not x or not y:
+        return 0.0
+    best = max(best_match(x[1:], y), best_match(x, y[1:]))
+    (tag, key, children, _, kind), q = x[0], y[0]
+    if tag == q[0]:
+        own = 1.0 + best_match(children, q[2]) if children and q[2] else 1.0 + SAME_TEXT * (not children and key == q[1])
+        best = max(best, own + SAME_CLASS * (kind == q[4]) + best_match(x[1:], y[1:]))
+    return best
+
+
+def forest(rng, depth):
+    return [[rng.choice("ab"), (leaf := rng.random() < 0.5 or not depth) and rng.randrange(3) or None, [] if leaf else forest(rng, depth - 1), 0, rng.randrange(2)] for _ in range(rng.randrange(1, 4))]
+
+
+def test_tree_matching_is_the_best(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(150):
+        x, y = forest(rng, 2), forest(rng, 2)
+        assert match(["", None, x, -1, 0], ["", None, y, -1, 0], []) == 1.0 + best_match(x, y)
+    # long lists are cut at texts that both have once
+    monkeypatch.setattr(html_extract, "CELLS", 50)
+    x = [["p", k, [], k, 0] for k in range(40)]
+    pairs = []
+    match(["", None, x, -1, 0], ["", None, [["p", -1, [], 90, 0], *x[5:30], *x[35:]], -1, 0], pairs)
+    assert {(a, b) for a, b, same in pairs if same} == {(k, k) for k in (*range(5, 30), *range(35, 40))}
+
+
+def test_all_pages_against_their_articles(spark):
+    """Of each page of the table, the text is blocks of the page, and those of the host's template aren't in it."""
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html for r in table.collect()}
+    rows = extract_pages(table).collect()
+    assert len(rows) == len(html)
+    for r in rows:
+        blocks = [leaf.text for leaf in Page(html[r.page_id] or "").leaves]
+        at = iter(blocks)
+        assert all(any(b == own for own in at) for b in r.text.split("\n\n") if b)
+
+
 def test_wavelet_files(documents, nasty, tmp_path):
     x = np.random.default_rng(1).integers(0, 300, 3000)
     file = WaveletFile(write_wavelet(x, np.array([1000, 2000]), [None, 5]))
