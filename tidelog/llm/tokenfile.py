@@ -1,7 +1,7 @@
 """Token-id files: one wavelet matrix per shard of documents.
 
-Documents are encoded, their ids are dealt to shards by sampled splitters of the document id, so that shards follow
-each other in that order, and each shard becomes one file. A wavelet matrix keeps one bit of all ids in each plane;
+Documents are range-partitioned and sorted by id; each task encodes its documents as they come and writes them as one file,
+or as several where they are more than a file should hold, so that files follow each other in the order of ids. A wavelet matrix keeps one bit of all ids in each plane;
 each plane sorts the ids stably by that bit for the next. With the number of ones before each block of 512 bits it
 supports access to any token, the count of a token up to a place (rank) and the place of its n-th use (select) on
 the planes themselves. Planes, counts and the document table are compressed apart, so a reader opens what it needs.
@@ -18,15 +18,13 @@ their names. A special token's string inside a text becomes that token's id.
 from __future__ import annotations
 
 import uuid
-import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +38,11 @@ BLOCK = 512
 CACHE_IDS = 6_000_000
 #: Units that the library encodes in one call.
 CALL_UNITS = 1000
-#: Text bytes of a shard, and sample keys of each.
-SHARD_BYTES, SAMPLES = 8 << 20, 32
+#: Text bytes of a task's documents, about, and of a file, at most (but for a single longer document).
+SHARD_BYTES, FILE_BYTES = 8 << 20, 16 << 20
+#: Partitions whose tokens are summed up together before the running sums.
+BLOCK_PARTS = 1000
+FILES = "part int, seq int, file string, n_docs long, n_tokens long"
 #: Rows of shard offsets that may be broadcast; more are joined by a shuffle.
 BROADCAST_SHARDS = 100_000
 
@@ -229,59 +230,75 @@ class WaveletFile:
         return row
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder. hdfs and viewfs need libhdfs beside every worker."""
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def put_file(uri: str, raw: bytes) -> None:
     """Writes a whole file or none: under another name first, so a task that is run twice does no harm."""
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = opened(uri)
     with store.open_output_stream(part := f"{path}.{uuid.uuid4().hex}.part") as out:
         out.write(raw)
     store.move(part, path)
 
 
-def write_token_files(docs: DataFrame, vocab_path: str, end_id: int = 2, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
-    """Writes the files and returns (shard, file, n_docs, n_tokens) of each, in order of shard, and their folder."""
+def write_token_files(docs: DataFrame, vocab_path: str, end_id: int = 2, uri: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str]:
+    """Writes the files and returns (part, seq, file, n_docs, n_tokens) of each, which go in order of part and seq, and their folder."""
     spark = docs.sparkSession
     if uri is None:
         base = shared_dir(spark)
         uri = f"{base if ':' in base.split('/')[0] else 'file://' + base}/tokens-{uuid.uuid4().hex}"
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = opened(uri)
     store.create_dir(path, recursive=True)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.crc32(text.cast("binary")).alias("crc"), (F.octet_length(text) + 1).alias("size"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, -(-total // shard_bytes))
-    chance = F.xxhash64("id", "crc").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    sample = [] if parts == 1 else sorted((r[0] is not None, r[0] or 0, r[1]) for r in sized.where(chance < F.col("size") * (SAMPLES * parts / max(1, total))).select("id", "crc").collect())
-    splitters = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(vocab_path)
-        for batch in text_chunks(batches, text_col):
-            texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
-            names = batch.column(id_col).cast(pa.int64())
-            crc = [*map(zlib.crc32, texts)]
-            shard = [bisect_right(splitters, (n is not None, n or 0, c)) for n, c in zip(names.to_pylist(), crc, strict=True)]
+    total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    # the last key deals out repeated rows of one id
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.crc32(text.cast("binary")).alias("crc"), F.monotonically_increasing_id().alias("row"))
+    keys = ["id", "crc", "row"]
+    placed = keyed.repartitionByRange(max(1, -(-total // shard_bytes)), *keys).sortWithinPartitions(*keys).select("id", "text")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, seq = word_encoder(vocab_path), TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray, list[int | None]]] = []
+        size = 0
+
+        def written() -> pa.RecordBatch:
+            ids, lengths = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            name = f"shard-{part:08d}-{seq:04d}.wm"
+            put_file(f"{uri}/{name}", write_wavelet(ids, lengths, [n for h in held for n in h[2]]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([name]), pa.array([len(lengths)], pa.int64()), pa.array([len(ids)], pa.int64())], ["part", "seq", "file", "n_docs", "n_tokens"])
+
+        for batch in text_chunks(batches, "text"):
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            more = sum(map(len, texts))
+            if held and size + more > file_bytes:
+                yield written()
+                seq, size = seq + 1, 0
             ids, lengths = encoder.encode_batch(texts)
             ids = np.insert(ids, np.cumsum(lengths), end_id)
-            narrow = np.uint16 if ids.max() < 1 << 16 else np.uint32
-            # two bytes an id where a chunk allows it; the width is told by the first byte's column
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), names, pa.array(crc, pa.int64()), pa.array([narrow().itemsize] * len(texts), pa.int32()), binary_column(ids.astype(narrow), lengths + 1)], ["shard", "id", "crc", "width", "ids"])
+            held.append((ids.astype(np.uint16 if ids.max() < 1 << 16 else np.uint32), lengths + 1, batch.column("id").to_pylist()))
+            size += more
+        if held:
+            yield written()
+
+    return materialise(placed.mapInArrow(write, FILES)), uri
 
-    def build(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, [("id", "ascending"), ("crc", "ascending")], null_placement="at_start"))
-        rows = [np.frombuffer(b, np.uint16 if w == 2 else np.uint32) for b, w in zip(group["ids"].to_pylist(), group["width"].to_pylist(), strict=True)]
-        ids, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
-        name = f"shard-{key[0].as_py():08d}.wm"
-        put_file(f"{uri}/{name}", write_wavelet(ids, lengths, group["id"].to_pylist()))
-        return pa.table({"shard": [key[0].as_py()], "file": [name], "n_docs": [len(rows)], "n_tokens": [len(ids)]}, pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    coded = docs.select(id_col, text_col).mapInArrow(encode, "shard int, id long, crc long, width int, ids binary")
-    return materialise(coded.groupBy("shard").applyInArrow(build, "shard int, file string, n_docs long, n_tokens long")), uri
+def file_offsets(shards: DataFrame) -> DataFrame:
+    """Per file: the tokens of all files before it, as sums of blocks of partitions and running sums inside them."""
+    blocked = shards.withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy("block").agg(F.sum("n_tokens").alias("n")).select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    before = Window.partitionBy("block").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocked.select("block", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("inside"))
+    return inside.join(blocks, "block").select("file", (F.col("start") + F.col("inside")).alias("_base"))
 
 
 def read_token_files(shards: DataFrame, uri: str, id_col: str = "doc_id") -> DataFrame:
     """Per document, from the files: the id, start (ids of all documents before it) and ids (as little-endian unsigned 32-bit integers)."""
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = shards.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_base"))
+    offsets = file_offsets(shards)
     spark = shards.sparkSession
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wm").load(uri) if shards.take(1) else spark.createDataFrame([], "path string, content binary")
 
