@@ -87,6 +87,41 @@ def test_similar_documents_of_odd_rows(spark):
     assert ngram_join.similar_documents(df.limit(0)).count() == 0
 
 
+def test_one_of_each_group(spark):
+    one, other, near = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = one.replace("a59", "z")
+    rows = [(1, one), (1, other), (1, one), (5, near), (6, other), (7, None), (7, ""), (8, " "), (None, one), (None, one), (9, "x y z" * 50), (9, "lone words here"), (2, other + " more")]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, _copies string, component_id string")
+    for docs in (df, df.repartition(3)):
+        kept = ngram_join.one_of_each(docs)
+        assert kept.columns == df.columns
+        found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+        assert found == sorted([(1, one), (1, other), (7, None), (7, ""), (8, " "), (None, one), (None, one), (9, "x y z" * 50), (9, "lone words here")], key=str)
+    assert ngram_join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated ids and rows, empty and very long texts, other columns, an empty table."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{k} and" for k in range(40))
+    rows = [(1, text, "en"), (1, text, None), (2, None, "en"), (3, "", None), (None, text + " no id", "en"), (4, "long words go on. " * 30000, "en"), (5, "secret = abcdefgh12 " + text, "en")]
+    schema = "doc_id long, text string, lang string"
+    labels = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    for name, some in (("odd", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()} <= {1, 2, 3, 4, 5, None}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    # past the quality rules, which may well reject such texts
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        stage(spark, docs, str(tmp_path / "odd")).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    first = [r for r in docs.collect() if r.piece == 0]
+    assert sorted((r.doc_id for r in first), key=str) == [1, 2, 3, 4, None]  # 5 is a near copy of 1
+
+
 def test_boundary_and_sizes():
     assert ngram_join.required(10, 10, 80) == 9 and ngram_join.required(10, 8, 80) == 8 and list(ngram_join.partners(10, 80)) == [8, 9, 10, 11, 12]
     assert ngram_join.choose_boundary({}, 2.0, 80) == 0

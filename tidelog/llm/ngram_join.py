@@ -452,7 +452,8 @@ class Classes:
 
 
 def linked_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, most_light: int | None) -> DataFrame:
-    """Per row: id, text_hash, n (of the set) and component_id."""
+    """Per row: id, text_hash, n (of the set), component_id, and part: a number of the component itself, as components can
+    have one least id where an id has several texts."""
     spark = docs.sparkSession
     facts, buckets = count_tokens(docs, n, id_col, text_col)
     rows = facts.where("n IS NOT NULL").select(*OWN)
@@ -507,10 +508,10 @@ def linked_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
             parts = components(links.union(found))
     classed = materialise(classes.rows.join(parts.select("id", "component"), "id", "left").select("low", "high", F.col("n").alias("_n"), "doc", F.coalesce("component", "id").alias("part")))
     least = classed.groupBy("part").agg(F.min("doc").alias("component_id"))
-    classed = classed.join(least, "part").select("low", "high", "_n", "component_id")
+    classed = classed.join(least, "part").select("low", "high", "_n", "part", "component_id")
     result = rows.alias("r").join(classed.alias("c"), (F.col("r.low") == F.col("c.low")) & (F.col("r.high") == F.col("c.high")) & (F.col("r.n") == F.col("c._n")), "left")
     component = F.when(F.col("r.id").isNotNull(), F.coalesce("c.component_id", "r.id"))
-    return result.select("r.id", "r.text_hash", "r.n", component.alias("component_id"))
+    return result.select("r.id", "r.text_hash", "r.n", "c.part", component.alias("component_id"))
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_light: int | None = None) -> DataFrame:
@@ -523,8 +524,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     """The rows of docs that stay when each group of linked documents keeps one: the least id, and of several rows with
     that id one of the least text hash. Rows without an id or without words stay, all of them."""
     found = linked_sets(docs, n, percent, id_col, text_col, None).where("id IS NOT NULL AND n > 0")
-    rows = found.groupBy("component_id", F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).agg(F.count(F.lit(1)).alias("_copies"))
-    first = materialise(rows.groupBy("component_id").agg(F.min(F.struct("_id", "_text_hash", "_copies")).alias("first")).select("first.*"))
+    rows = found.groupBy("part", F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).agg(F.count(F.lit(1)).alias("_copies"))
+    first = materialise(rows.groupBy("part").agg(F.min(F.struct("_id", "_text_hash", "_copies")).alias("first")).select("first.*"))
     words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     here = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text_hash": F.xxhash64(F.col(text_col))})
     key = ["_id", "_text_hash"]
