@@ -14,21 +14,25 @@ key go by id; columns other than the id and the text are ignored. A null id is p
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidelog.llm.common import materialise
 
 #: Low bits of the key that come from the id.
 ID_BITS = 20
 #: Expected sample keys of each range.
-SAMPLES = 32
-#: Rows that a range should hold; ranges at least and, before subdividing, at most (the plan holds their boundaries).
+SAMPLES = 16
+#: Rows that a range should hold; ranges at least and, before subdividing, at most. Tasks get their boundaries, the driver
+#: the sample: half a million keys. Beyond 6 billion rows ranges grow with the input; they are sorted with spilling.
 RANGE_ROWS = 200_000
-LEAST_RANGES, MOST_RANGES = 64, 1024
+LEAST_RANGES, MOST_RANGES = 64, 1 << 15
 #: A range of over this many times its share is subdivided.
 OVERFULL = 4
 #: Rounds of subdividing; a range that is still overfull only takes longer to sort.
@@ -47,29 +51,27 @@ def shard_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def sample_keys(keyed: DataFrame, share: Column, salt: int) -> list[tuple[int, int]]:
-    """(key, rest) of about `share` of the rows, chosen by a hash so that a repeated task chooses alike."""
+def sample_keys(keyed: DataFrame, share: Column, salt: int) -> np.ndarray:
+    """Sorted keys of about `share` of the rows, chosen by a hash so that a repeated task chooses alike."""
     chance = (F.xxhash64(F.col("key"), F.col("size"), F.lit(salt)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)).alias("chance")
-    return [r[0] for r in keyed.where(chance < share).select("key").collect()]
+    return np.sort(keyed.where(chance < share).select("key").toArrow()["key"].to_numpy())
 
 
-def quantiles(sample: list[int], parts: int, whole_groups: bool) -> list[int]:
-    """Up to parts - 1 boundaries. whole_groups: each at the first key of its text."""
-    sample = sorted(sample)
-    cuts = {sample[len(sample) * i // parts] for i in range(1, parts)} if sample else set()
-    return sorted({c & ~((1 << ID_BITS) - 1) for c in cuts} if whole_groups else cuts)
+def quantiles(sample: np.ndarray, parts: int, whole_groups: bool) -> np.ndarray:
+    """Up to parts - 1 boundaries of a sorted sample. whole_groups: each at the first key of its text."""
+    cuts = sample[len(sample) * np.arange(1, parts) // parts] if len(sample) else sample
+    return np.unique(cuts & ~np.int64((1 << ID_BITS) - 1) if whole_groups else cuts)
 
 
-def range_of(boundaries: list[int]) -> Column:
-    """The number of boundaries that are at most the key, by a search over a literal tree of bounded size."""
+def in_ranges(keyed: DataFrame, boundaries: np.ndarray) -> DataFrame:
+    """Adds `range`, the number of boundaries that are at most the key."""
 
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        return F.when(F.col("key") < F.lit(boundaries[mid]), tree(a, mid)).otherwise(tree(mid + 1, b))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.searchsorted(boundaries, batch.column("key").to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "range"])
 
-    return tree(0, len(boundaries))
+    return keyed.mapInArrow(run, StructType([*keyed.schema.fields, StructField("range", IntegerType())]))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -80,34 +82,35 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     share = max(1, total) / wanted
     boundaries = quantiles(sample_keys(keyed, F.col("size") * (wanted * SAMPLES / max(1, total)), 0), wanted, True)
     for turn in range(1, MOST_TURNS + 1):
-        sizes = dict((r[0], (r[1], r[2])) for r in in_ranges(keyed, boundaries).groupBy("range").agg(F.sum("size"), F.count(F.lit(1))).collect())
-        lows = [None, *boundaries]
-        full = [k for k, (size, count) in sizes.items() if size > OVERFULL * share and count > 1]
+        sizes = {r[0]: (r[1], r[2]) for r in in_ranges(keyed, boundaries).groupBy("range").agg(F.sum("size"), F.count(F.lit(1))).collect()}
+        full = sorted(k for k, (size, count) in sizes.items() if size > OVERFULL * share and count > 1)
         if not full or turn == MOST_TURNS:
             break
         rate = F.col("size") * (SAMPLES * wanted / max(1, total))
-        again = sorted(sample_keys(in_ranges(keyed, boundaries).where(F.col("range").isin(full)), rate, turn))
-        more: set[int] = set()
-        for k in full:
-            low, high = lows[k], boundaries[k] if k < len(boundaries) else None
-            inside = again[0 if low is None else bisect_left(again, low) : None if high is None else bisect_left(again, high)]
-            more |= set(quantiles(inside, max(2, round(sizes[k][0] / share)), False)) - {low}
-        if not more - set(boundaries):
+        overfull = docs.sparkSession.createDataFrame([(k,) for k in full], "range int")
+        again = sample_keys(in_ranges(keyed, boundaries).join(F.broadcast(overfull), "range", "left_semi"), rate, turn)
+        bounds = np.r_[0, np.searchsorted(again, boundaries), len(again)]
+        more = [quantiles(again[bounds[k] : bounds[k + 1]], max(2, round(sizes[k][0] / share)), False) for k in full]
+        finer = np.unique(np.concatenate([boundaries, *more]))
+        if len(finer) == len(boundaries):
             break
-        boundaries = sorted({*boundaries, *more})
+        boundaries = finer
     starts = dict(zip(sorted(sizes), accumulate((sizes[k] for k in sorted(sizes)), lambda a, b: (a[0] + b[0], a[1] + b[1]), initial=(0, 0)), strict=False))
     in_order = Window.partitionBy("range").orderBy("key", F.col(id_col), "text_crc32")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    text_of, group_ranges = F.col("key").bitwiseAND(F.lit(~((1 << ID_BITS) - 1))), [k for k in range(len(boundaries) + 1) if k == 0 or not boundaries[k - 1] & ((1 << ID_BITS) - 1)]
+    mask = (1 << ID_BITS) - 1
+    text_of = F.col("key").bitwiseAND(F.lit(~mask))
+    # whether a range begins where a text's group does
+    offsets = docs.sparkSession.createDataFrame([(k, a, b, k == 0 or not int(boundaries[k - 1]) & mask) for k, (a, b) in starts.items()], "range int, byte_start long, row_start long, at_group boolean")
     placed = (
         in_ranges(keyed, boundaries)
         .withColumn("bytes_before", F.coalesce(F.sum("size").over(before), F.lit(0)))
         .withColumn("rows_before", F.row_number().over(in_order) - 1)
-        .withColumn("edge", F.coalesce(F.lag(text_of).over(in_order) != text_of, F.col("range").isin(group_ranges)))
+        .withColumn("last_text", F.lag(text_of).over(in_order))
+        .join(F.broadcast(offsets), "range")
+        .withColumn("edge", F.coalesce(F.col("last_text") != text_of, "at_group"))
+        .withColumns({"bytes_before": F.col("bytes_before") + F.col("byte_start"), "rows_before": F.col("rows_before") + F.col("row_start")})
     )
-    if starts:
-        offsets = docs.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in starts.items()], "range int, byte_start long, row_start long")
-        placed = placed.join(F.broadcast(offsets), "range").withColumns({"bytes_before": F.col("bytes_before") + F.col("byte_start"), "rows_before": F.col("rows_before") + F.col("row_start")})
     placed = materialise(placed.select(id_col, "size", "text_crc32", "bytes_before", "rows_before", "edge"))
     quota = max(1, total) / n_shards
     boundary = F.round(F.col("bytes_before") / quota).cast("int")
@@ -124,6 +127,3 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
     base = F.create_map(*[F.lit(x) for s, b in (first or {0: 0}).items() for x in (s, b)])
     return placed.select(id_col, "size", "text_crc32", "shard", (F.col("rows_before") - base[F.col("shard")]).cast("long").alias("slot"))
 
-
-def in_ranges(keyed: DataFrame, boundaries: list[int]) -> DataFrame:
-    return keyed.withColumn("range", range_of(boundaries))
