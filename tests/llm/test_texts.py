@@ -285,6 +285,28 @@ def test_tree_matching_is_the_best(monkeypatch):
     assert {(a, b) for a, b, same in pairs if same} == {(k, k) for k in (*range(5, 30), *range(35, 40))}
 
 
+def test_long_lists_match_as_short_ones(monkeypatch):
+    # rows of a table without its first one: no leaf of the table itself has a text
+    x, y = (Page("<table>" + "".join(f"<tr><td>a{k}</td><td>b{k}</td></tr>" for k in range(first, 600)) + "</table>") for first in (0, 1))
+    pairs = []
+    match(x.root, y.root, pairs)
+    assert {(x.leaves[a].text, y.leaves[b].text) for a, b, _ in pairs} == {(t, t) for k in range(1, 600) for t in (f"a{k}", f"b{k}")}
+    assert all(same for *_, same in pairs)
+    # one that moved
+    x, y = (Page("".join(f"<p>{t}</p>" for t in texts)) for texts in ([*range(600), -1], [-1, *range(600)]))
+    assert match(x.root, y.root, pairs := []) == 1.0 + 600 * (1.0 + SAME_TEXT + SAME_CLASS) and len(pairs) == 600
+    # sizes from which tables are kept in part, rows are arrays and texts count as one bear on no result
+    rng = random.Random(4)
+    for _ in range(60):
+        x, y = (["", None, [*forest(rng, 2), *forest(rng, 2), *forest(rng, 1)], -1, 0] for _ in range(2))
+        found = []
+        for cells, wide, scores, numbers in ((250_000, 64, 1_000_000, 200_000), (5, 64, 0, 0), (5, 2, 0, 200_000), (250_000, 2, 1_000_000, 0)):
+            for name, value in (("CELLS", cells), ("WIDE", wide), ("SCORES", scores), ("NUMBERS", numbers)):
+                monkeypatch.setattr(html_extract, name, value)
+            found.append((match(x, y, pairs := []), pairs))
+        assert all(f == found[0] for f in found) and found[0][0] == 1.0 + best_match(x[2], y[2])
+
+
 def test_all_pages_against_their_articles(spark):
     """Of each page of the table, the text is blocks of the page, and those of the host's template aren't in it."""
     table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")

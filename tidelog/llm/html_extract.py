@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from math import isqrt
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,8 +47,9 @@ MOST = 0.5
 SAME_TEXT, SAME_CLASS = 1.0, 0.25
 #: Elements nested deeper count as part of the one above; their text is the same.
 DEPTH = 200
-#: Pairs of children up to which two nodes are matched as a whole; more are first cut at texts that both have once.
-CELLS = 250_000
+#: Cells up to which a table of weights is kept whole, children from which its rows are arrays, scores that are kept of small
+#: tables, and numbers up to which nodes get one for each set of texts. They bear on cost only.
+CELLS, WIDE, SCORES, NUMBERS = 250_000, 64, 1_000_000, 200_000
 #: Bytes of references or templates that may be broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -288,83 +290,188 @@ def folded(node: Node) -> None:
         node[1:4] = node[2][0][1:4]
 
 
-def stretches(x: list[Node], y: list[Node]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Cuts two lists of nodes at leaves that both have once, in the same order as far as possible: bounds of the stretches
-    between them, and of them."""
-    once = [{key: k for k, key in enumerate(keys) if counts[key] == 1} for keys in ([(n[0], n[1]) if n[1] is not None else None for n in nodes] for nodes in (x, y)) for counts in (Counter(keys),)]
-    common = sorted((i, once[1][key]) for key, i in once[0].items() if key is not None and key in once[1])
-    # the longest run of them that ascends in y as well
-    tops: list[int] = []
-    back, heads = [-1] * len(common), []
-    for k, (_, j) in enumerate(common):
-        at = bisect_left(tops, j)
-        back[k] = heads[at - 1] if at else -1
-        tops[at : at + 1], heads[at : at + 1] = [j], [k]
-    chosen, k = [], heads[-1] if heads else -1
-    while k >= 0:
-        chosen.append(common[k])
-        k = back[k]
-    cuts = [(-1, -1), *reversed(chosen), (len(x), len(y))]
-    found = []
-    for (i, j), (i_next, j_next) in zip(cuts, cuts[1:], strict=False):
-        if i >= 0:
-            found.append(((i, i + 1), (j, j + 1)))
-        found.append(((i + 1, i_next), (j + 1, j_next)))
-    return found
+class Columns:
+    """A long list of nodes' numbers, as the columns of a table of weights."""
+
+    def __init__(self, trees: Matching, y: tuple[int, ...]):
+        self.trees = trees
+        self.nodes = [*dict.fromkeys(y)]
+        places = {q: k for k, q in enumerate(self.nodes)}
+        self.at = np.array([places[q] for q in y])
+        shapes = [trees.shape[q] for q in self.nodes]
+        self.shapes = [*dict.fromkeys(shapes)]
+        places = {q: k for k, q in enumerate(self.shapes)}
+        self.shape_at = np.array([places[q] for q in shapes])
+        self.having: dict[int, list[int]] = {}
+        for k, q in enumerate(self.nodes):
+            for text in trees.texts[q]:
+                self.having.setdefault(text, []).append(k)
+
+    def weights(self, p: int) -> np.ndarray:
+        """Of a node with each column. Without a text in common only shapes count."""
+        trees = self.trees
+        shape = trees.shape[p]
+        found = np.array([trees.weight(shape, q) for q in self.shapes])[self.shape_at]
+        for k in {k for text in trees.texts[p] for k in self.having.get(text, ())}:
+            found[k] = trees.weight(p, self.nodes[k])
+        return found[self.at]
+
+
+class Matching:
+    """Two trees whose nodes are numbered such that nodes of one number weigh the same with any node of the other tree: texts
+    and classes that only one tree has count as one."""
+
+    def __init__(self, a: Node, b: Node):
+        (keys, kinds), (other_keys, other_kinds) = (self._held(x) for x in (a, b))
+        self._keys, self._kinds = keys & other_keys, kinds & other_kinds
+        self._numbers: dict[tuple, int] = {}
+        self._scores: dict[tuple[int, int], float] = {}
+        self._columns: dict[tuple[int, ...], Columns] = {}
+        self._cut: dict[tuple[int, frozenset[int]], int] = {}
+        self.tag: list[str] = []
+        self.key: list[int | str | None] = []
+        self.kind: list[int | str] = []
+        self.inner: list[tuple[int, ...]] = []
+        self.side: list[str] = []
+        #: Texts below a node that both trees have, and the number of the node without them.
+        self.texts: list[frozenset[int]] = []
+        self.shape: list[int] = []
+        self.roots = self._number(a, "a"), self._number(b, "b")
+
+    @staticmethod
+    def _held(node: Node) -> tuple[set, set]:
+        keys, kinds, rest = set(), set(), [node]
+        while rest:
+            _, key, children, _, kind = rest.pop()
+            keys.add(key)
+            kinds.add(kind)
+            rest += children
+        return keys - {None}, kinds
+
+    def _number(self, node: Node, side: str) -> int:
+        tag, key, children, _, kind = node
+        inner = tuple([self._number(child, side) for child in children])
+        return self._of(tag, key if key is None or key in self._keys else side, kind if kind in self._kinds else side, inner, side)
+
+    def _of(self, tag: str, key: int | str | None, kind: int | str, inner: tuple[int, ...], side: str) -> int:
+        same = (side, tag, key, kind, inner)
+        if (found := self._numbers.get(same)) is not None:
+            return found
+        texts = self.texts[inner[0]] if len(inner) == 1 else frozenset().union(*(self.texts[k] for k in inner))
+        if key is not None and key != side:
+            texts |= {key}
+        shape = self._of(tag, None if key is None else side, kind, tuple([self.shape[k] for k in inner]), side) if texts else len(self.tag)
+        found = self._numbers[same] = len(self.tag)
+        for column, value in zip((self.tag, self.key, self.kind, self.inner, self.side, self.texts, self.shape), (tag, key, kind, inner, side, texts, shape), strict=True):
+            column.append(value)
+        return found
+
+    def weight(self, p: int, q: int) -> float:
+        """Of the pair of two nodes and all that can be paired below; 0 if their tags differ."""
+        if self.tag[p] != self.tag[q]:
+            return 0.0
+        own = SAME_CLASS if self.kind[p] == self.kind[q] else 0.0
+        if self.inner[p] and self.inner[q]:
+            return own + self._score(p, q)
+        return own + (1.0 + SAME_TEXT if not self.inner[p] and self.key[p] == self.key[q] else 1.0)
+
+    def _score(self, p: int, q: int) -> float:
+        if self.texts[p].isdisjoint(self.texts[q]):
+            p, q = self.shape[p], self.shape[q]
+        else:
+            shared = self.texts[p] & self.texts[q]
+            p, q = self._only(p, shared), self._only(q, shared)
+        found = self._scores.get((p, q))
+        if found is None:
+            x, y = self.inner[p], self.inner[q]
+            for row in self._rows(x, y):
+                pass
+            found = 1.0 + float(row[-1])
+            if len(self._scores) < SCORES or len(x) * len(y) >= WIDE:
+                self._scores[p, q] = found
+        return found
+
+    def _only(self, p: int, texts: frozenset[int]) -> int:
+        """The number of a node without its other texts, which count as one; larger nodes keep theirs."""
+        if len(self.texts[p]) >= WIDE or self.texts[p] <= texts:
+            return p
+        found = self._cut.get((p, texts))
+        if found is None:
+            if len(self.tag) >= NUMBERS:
+                return p
+            key, side = self.key[p], self.side[p]
+            found = self._cut[p, texts] = self._of(self.tag[p], key if key is None or key in texts else side, self.kind[p], tuple([self._only(k, texts) for k in self.inner[p]]), side)
+        return found
+
+    def _rows(self, x: tuple[int, ...], y: tuple[int, ...], row: list[float] | np.ndarray | None = None) -> Iterator[list[float] | np.ndarray]:
+        """The table's rows of x, below the one given: the greatest weight of the nodes so far with the first 0, 1, ... of y."""
+        if len(y) < WIDE:
+            row = row or [0.0] * (len(y) + 1)
+            for p in x:
+                last, row, left = row, [0.0], 0.0
+                for j, q in enumerate(y):
+                    best = last[j + 1]
+                    if left > best:
+                        best = left
+                    w = last[j] + self.weight(p, q)
+                    if w > best:
+                        best = w
+                    left = best
+                    row.append(best)
+                yield row
+            return
+        if (columns := self._columns.get(y)) is None:
+            columns = self._columns[y] = Columns(self, y)
+        row, before = np.zeros(len(y) + 1) if row is None else row, None
+        for p in x:
+            if p != before:
+                weights, before = columns.weights(p), p
+            last, row = row, np.zeros(len(y) + 1)
+            np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weights), out=row[1:])
+            yield row
+
+    def pair(self, a: Node, b: Node, p: int, q: int, pairs: list[tuple[int, int, bool]]) -> float:
+        """Adds the leaves paired below two nodes of these numbers; the pair's score. Of a table of more than CELLS some rows
+        are kept, and the rows between them made again."""
+        x, y = self.inner[p], self.inner[q]
+        i, j = len(x), len(y)
+        step = i if i * j <= CELLS else min(i, isqrt(i) + 1)
+        kept, end = [None], 0.0
+        table: list = []
+        for k, row in enumerate(self._rows(x, y), 1):
+            if step == len(x):
+                table.append(row)
+            elif k % step == 0:
+                kept.append(row)
+        end = 1.0 + float(row[-1])
+        for start in range((len(x) - 1) // step * step, -1, -step):
+            if step < len(x):
+                table = [*self._rows(x[start : start + step], y, kept[start // step])]
+            table.insert(0, [0.0] * (len(y) + 1) if kept[start // step] is None else kept[start // step])
+            while i > start and j:
+                here = table[i - start][j]
+                if here == table[i - start - 1][j]:
+                    i -= 1
+                elif here == table[i - start][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    m, n = a[2][i], b[2][j]
+                    if m[3] >= 0 and n[3] >= 0:
+                        pairs.append((m[3], n[3], m[1] == n[1]))
+                    elif m[2] and n[2]:
+                        self.pair(m, n, x[i], y[j], pairs)
+        return end
 
 
 def match(a: Node, b: Node, pairs: list[tuple[int, int, bool]]) -> float:
     """Simple tree matching of two nodes of one tag: the greatest number of nodes that can be paired in order, level by
-    level, plus SAME_TEXT for each pair of leaves with the same text and SAME_CLASS for nodes of the same class. pairs: gets the
-    leaves paired, and if they are the same."""
-    x, y = a[2], b[2]
-    if not x or not y:
+    level, plus SAME_TEXT for each pair of leaves with the same text and SAME_CLASS for nodes of the same class; the same
+    whatever the size. pairs: gets the leaves paired, and if they are the same."""
+    if not a[2] or not b[2]:
         return 1.0
-    if len(x) * len(y) > CELLS:
-        total = 1.0
-        for (i, i_end), (j, j_end) in stretches(x, y):
-            if (i_end - i) * (j_end - j) > CELLS:
-                # of lists this long without a text in common, nodes pair by their order
-                for p, q in zip(x[i:i_end], y[j:j_end]):
-                    total += match(["", None, [p], -1, 0], ["", None, [q], -1, 0], pairs) - 1.0
-            else:
-                total += match(["", None, x[i:i_end], -1, 0], ["", None, y[j:j_end], -1, 0], pairs) - 1.0
-        return total
-    inner: dict[tuple[int, int], list[tuple[int, int, bool]]] = {}
-    table = [[0.0] * (len(y) + 1)]
-    for i, (tag, key, children, _, kind) in enumerate(x):
-        last, now, left = table[-1], [0.0], 0.0
-        for j, q in enumerate(y):
-            best = last[j + 1]
-            if left > best:
-                best = left
-            if q[0] == tag:
-                w = last[j] + (SAME_CLASS if q[4] == kind else 0.0)
-                if children and q[2]:
-                    w += match(x[i], q, inner.setdefault((i, j), []))
-                elif not children and q[1] == key:
-                    w += 1.0 + SAME_TEXT
-                else:
-                    w += 1.0
-                if w > best:
-                    best = w
-            left = best
-            now.append(best)
-        table.append(now)
-    i, j = len(x), len(y)
-    while i and j:
-        here = table[i][j]
-        if here == table[i - 1][j]:
-            i -= 1
-        elif here == table[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            if x[i][3] >= 0 and y[j][3] >= 0:
-                pairs.append((x[i][3], y[j][3], x[i][1] == y[j][1]))
-            else:
-                pairs += inner.get((i, j), ())
-    return 1.0 + table[-1][-1]
+    trees = Matching(a, b)
+    return trees.pair(a, b, *trees.roots, pairs)
 
 
 def main_text(page: Page, template: set[int], voted: bool = False, overruled: frozenset[int] = frozenset()) -> str:
