@@ -12,11 +12,15 @@ from tidelog.graph import algorithms as g
 
 
 def shuffled_rows(spark, run):
-    """Rows that the stages of run() write for shuffles."""
+    """Rows that the stages of run() write for shuffles, where nothing is small enough to broadcast."""
     store = spark.sparkContext._jsc.sc().statusStore()
     written = lambda: sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
-    before = written()
-    found = run()
+    before, threshold = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = run()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     return found, written() - before
 

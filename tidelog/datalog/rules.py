@@ -8,7 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
+from tidelog.datalog import products
 from tidelog.datalog.syntax import Aggregate, Arithmetic, Atom, Comparison, Constant, DatalogError, Rule, Sort, Term, Variable, variables
+from tidelog.plans.store import stored
 
 #: Gives the facts of the atom at a place of the body, as columns c0, c1, ...
 Facts = Callable[[int, Atom], DataFrame]
@@ -143,6 +147,89 @@ class Body:
         self.frame = self.frame.join(other, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in names)), "left_anti")
 
 
+def paired(rule: Rule) -> tuple[int, int, Variable] | None:
+    """Where a rule's two literals are, if they share one variable, which the head lacks: that of the head's first argument,
+    that of its second, and what they share."""
+    atoms = [(k, a) for k, a in enumerate(rule.body) if isinstance(a, Atom) and not a.negated]
+    plain = all(isinstance(t, Variable) for _, a in atoms for t in a.terms) and all(len({t for t in a.terms if not t.anonymous}) == sum(not t.anonymous for t in a.terms) for _, a in atoms)
+    if len(atoms) != 2 or not plain or len(rule.head.terms) != 3 or not all(isinstance(t, Variable) for t in rule.head.terms[:2]) or any(isinstance(x, Sort) for x in rule.body):
+        return None
+    shared, (x, y) = bound_by(atoms[0][1]) & bound_by(atoms[1][1]), rule.head.terms[:2]
+    order = sorted(atoms, key=lambda a: x not in bound_by(a[1]))
+    if len(shared) != 1 or {x, y} & shared or x == y or x not in bound_by(order[0][1]) or y not in bound_by(order[1][1]):
+        return None
+    return order[0][0], order[1][0], next(iter(shared))
+
+
+def side(facts: DataFrame, atom: Atom, names: dict[str, Variable]) -> DataFrame | None:
+    """Columns of an atom's facts by these names, as longs; None if they aren't whole numbers."""
+    place = {name: f"c{atom.terms.index(v)}" for name, v in names.items()}
+    if not all(isinstance(facts.schema[c].dataType, T.IntegralType) for c in place.values()):
+        return None
+    return facts.select(*(F.col(c).cast("long").alias(name) for name, c in place.items()))
+
+
+def counted(spark: SparkSession, rule: Rule, facts: Facts) -> DataFrame | None:
+    """What a rule derives that counts, for two variables, the values of a third that two literals share, with conditions on
+    the two: as a product, conditions after it. None if the rule isn't of this form."""
+    last = rule.head.terms[-1] if rule.head.terms else None
+    if not isinstance(last, Aggregate) or last.function != "count" or (pair := paired(rule)) is None:
+        return None
+    left, right, k = pair
+    x, y = rule.head.terms[:2]
+    rest = [a for a in rule.body if isinstance(a, Comparison) or a.negated]
+    inside = all((variables(a.left) | variables(a.right) if isinstance(a, Comparison) else bound_by(a)) <= {x, y} for a in rest)
+    if not inside or not (last.over == k or isinstance(last.over, Variable) and last.over.anonymous):
+        return None
+    kept: dict[str, DataFrame] = {}
+
+    def once(place: int) -> DataFrame:
+        atom = rule.body[place]
+        if atom.predicate not in kept:
+            kept[atom.predicate] = stored(facts(place, atom))
+        return kept[atom.predicate]
+
+    none = F.lit(0).cast("long").alias("v")
+    a, b = side(once(left), rule.body[left], {"x": x, "k": k}), side(once(right), rule.body[right], {"k": k, "y": y})
+    if a is None or b is None or a.where("x IS NULL").take(1) or b.where("y IS NULL").take(1):
+        return None
+    body = Body(spark, rule, None)
+    body.frame, body.bound = products.product(a.select("x", "k", none), b.select("k", "y", none), "count").select(F.col("x").alias(column(x)), F.col("y").alias(column(y)), F.col("value").alias("_number")), {x, y}
+    for c in body.waiting:
+        body.frame = body.frame.where(compared(c))
+    for place, atom in body.negated:
+        body.subtract(atom, once(place))
+    schema = [once(p).schema[f"c{rule.body[p].terms.index(v)}"].dataType for p, v in ((left, x), (right, y))]
+    return body.frame.select(value(x).cast(schema[0]).alias("c0"), value(y).cast(schema[1]).alias("c1"), F.col("_number").alias("c2"))
+
+
+def added(rule: Rule, facts: Facts) -> DataFrame | None:
+    """The best values (mmin, mmax) of a rule that adds the values of two literals which share a variable, as a product; None
+    if the rule isn't of this form."""
+    last = rule.head.terms[-1] if rule.head.terms else None
+    if not isinstance(last, Aggregate) or last.function not in ("mmin", "mmax") or (pair := paired(rule)) is None:
+        return None
+    left, right, k = pair
+    (x, y), rest = rule.head.terms[:2], [c for c in rule.body if not isinstance(c, Atom) or c.negated]
+    if len(rest) != 1 or not isinstance(rest[0], Comparison) or rest[0].sign != "=":
+        return None
+    for total, terms in ((rest[0].left, rest[0].right), (rest[0].right, rest[0].left)):
+        if total == last.over and isinstance(terms, Arithmetic) and terms.sign == "+" and isinstance(terms.left, Variable) and isinstance(terms.right, Variable):
+            values = {p: [v for v in (terms.left, terms.right) if v in bound_by(rule.body[p]) - {x, y, k}] for p in (left, right)}
+            if total in bound_by(rule.body[left]) | bound_by(rule.body[right]) or any(len(v) != 1 for v in values.values()):
+                continue
+            frames = [facts(p, rule.body[p]) for p in (left, right)]
+            if any(not isinstance(f.schema[f"c{rule.body[p].terms.index(values[p][0])}"].dataType, T.LongType) for f, p in zip(frames, (left, right), strict=True)):
+                continue
+            a, b = side(frames[0], rule.body[left], {"x": x, "k": k, "v": values[left][0]}), side(frames[1], rule.body[right], {"k": k, "y": y, "v": values[right][0]})
+            if a is None or b is None or a.where("x IS NULL").take(1) or b.where("y IS NULL").take(1):
+                continue
+            # a sum with null is null, which is no best value
+            a, b = a.where("v IS NOT NULL"), b.where("v IS NOT NULL")
+            return products.product(a, b, last.function[1:]).select(F.col("x").alias("c0"), F.col("y").alias("c1"), F.col("value").alias("c2"))
+    return None
+
+
 def evaluate(spark: SparkSession, rule: Rule, facts: Facts, first: int | None = None, join_hint: str | None = None) -> DataFrame:
     """The rows that a rule derives, as columns c0, c1, ...; not made distinct unless it aggregates.
 

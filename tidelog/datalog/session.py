@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.datalog.fixpoint import Options, Recursion, Round
-from tidelog.datalog.rules import evaluate, matched
+from tidelog.datalog.rules import counted, evaluate, matched
 from tidelog.datalog.strata import check, components, needed, pivots, used_by
 from tidelog.datalog.syntax import Aggregate, Atom, Constant, DatalogError, Rule, Sort, Source, Variable, parse_program, parse_query
 from tidelog.sources.facts import read_facts, rows_of_text
@@ -147,12 +147,16 @@ class Program:
                     known |= recursion.run()
                     self.rounds |= {p: recursion.rounds for p in group}
                 else:
-                    known[group[0]] = self.derived(own, known)
+                    known[group[0]] = self.derived(own, known, self.read_whole(group[0], rules))
             self._result = self.answer(known[self.goal.predicate], rules)
         return self._result
 
-    def derived(self, rules: list[Rule], known: dict[str, DataFrame]) -> DataFrame:
-        """The facts of a predicate that isn't recursive."""
+    def read_whole(self, predicate: str, rules: list[Rule]) -> bool:
+        """Whether nothing reads a predicate with constants, which a plain join is filtered by."""
+        return not any(isinstance(t, Constant) for a in (self.goal, *(a for r in rules for a in r.atoms)) if a.predicate == predicate for t in a.terms)
+
+    def derived(self, rules: list[Rule], known: dict[str, DataFrame], whole: bool = False) -> DataFrame:
+        """The facts of a predicate that isn't recursive. whole: nothing filters them."""
         session = self.session
         frames, aggregate = [], False
         for r in rules:
@@ -162,7 +166,8 @@ class Program:
                 rows = known[atom.predicate]
                 return F.broadcast(rows) if session.options.join_type == "broadcast" and k != first and session.options.fits(rows) else rows
 
-            rows = evaluate(session.spark, r, facts, None, session.options.join_hint)
+            rows = counted(session.spark, r, facts) if whole else None
+            rows = evaluate(session.spark, r, facts, None, session.options.join_hint) if rows is None else rows
             last = r.head.terms[-1] if r.head.terms else None
             if isinstance(last, Aggregate) and last.monotonic:
                 # outside recursion a monotonic aggregate is the plain one
