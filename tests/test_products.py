@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from tidelog.datalog import DatalogSession, products
+from tidelog.datalog.fixpoint import Options
 from tidelog.graph import algorithms as g
 
 
@@ -83,3 +84,28 @@ def test_counted_pairs_do_not_shuffle_wedges(spark):
     assert found == {(a, b, 2) for a in range(1, 301) for b in range(1, 301) if a != b} | {(0, 400, 300), (400, 0, 300)}
     # 90,000 pairs of 180,600 wedges: the pairs are summed up and joined with what they must not be
     assert shuffled < 270_000
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_best_sums_are_products(spark, monkeypatch, nulls):
+    """A complete graph of 30, with a relation that isn't small enough to broadcast; facts with nulls are joined instead."""
+    monkeypatch.setattr(products, "LEAST", 100)
+    n, rng = 30, random.Random(5)
+    arcs = {(a, b): rng.randrange(1, 100) for a in range(n) for b in range(n) if a != b}
+    best = dict(arcs)
+    for k in range(n):
+        for a in range(n):
+            for b in range(n):
+                if (a, k) in best and (k, b) in best:
+                    best[a, b] = min(best.get((a, b), 10**9), best[a, k] + best[k, b])
+    datalog = DatalogSession(spark, Options(broadcast_rows=0))
+    datalog.load_program("database({e(A: long, B: long, C: long)}). m(A,B,mmin<C>) <- e(A,B,C). m(A,B,mmin<D>) <- m(A,C,D1), e(C,B,D2), D=D1+D2.")
+    datalog.register("e", spark.createDataFrame([(a, b, c) for (a, b), c in arcs.items()] + [(1, 2, None)] + [(0, None, 3)] * nulls, "a long, b long, c long").repartition(4))
+    calls = []
+    monkeypatch.setattr(products, "product", lambda *a, made=products.product: calls.append(a) or made(*a))
+    found = {tuple(r) for r in datalog.query("m(A,B,C).").collect()}
+    assert {r for r in found if r[1] is not None} == {(a, b, c) for (a, b), c in best.items()}
+    if nulls:
+        assert {r for r in found if r[1] is None} == {(a, None, 3 + (best[a, 0] if a else 0)) for a in range(n)}
+    else:
+        assert calls and all(r[1] is not None for r in found)

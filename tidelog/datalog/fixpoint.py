@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.datalog.rules import evaluate
+from tidelog.datalog.rules import added, evaluate
 from tidelog.datalog.strata import pivots
 from tidelog.datalog.syntax import Aggregate, Atom, DatalogError, Rule
 from tidelog.plans.store import stored
@@ -247,6 +247,9 @@ class Recursion:
             relation = self.relations[atom.predicate]
             return relation.delta if k == place else relation.total
 
+        if place is not None and not any(a.predicate in self.small for a in r.atoms) and (rows := added(r, facts)) is not None:
+            # with adaptive execution, which a round's plan may be without
+            return stored(rows)
         return evaluate(self.spark, r, facts, place, self.options.join_hint)
 
     def together(self, frames: list[DataFrame]) -> DataFrame:
