@@ -6,10 +6,14 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.datalog import DatalogSession, products
 from tidelog.datalog.fixpoint import Options
 from tidelog.graph import algorithms as g
+from tidelog.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def shuffled_rows(spark, run):
@@ -109,3 +113,11 @@ def test_best_sums_are_products(spark, monkeypatch, nulls):
         assert {r for r in found if r[1] is None} == {(a, None, 3 + (best[a, 0] if a else 0)) for a in range(n)}
     else:
         assert calls and all(r[1] is not None for r in found)
+
+
+def test_mean_of_a_group_shuffles_sums(spark):
+    found, shuffled = shuffled_rows(spark, lambda: {r[0]: r[1] for r in QUERIES["udaf_pandas"](spark, SF).collect()})
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert found == pytest.approx({r[0]: r[1] for r in lines.groupBy("l_returnflag").agg(F.avg("l_quantity")).collect()})
+    # of about 6,000 lines
+    assert shuffled < 100

@@ -375,11 +375,18 @@ def udf_pandas(t):
 
 @query("SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1")
 def udaf_pandas(t):
+    """A batch's sums first: a group's rows may be more than a task's memory, its partial sums are one for each of many rows."""
+
+    def partial(batches):
+        for x in batches:
+            yield x.groupby("l_returnflag", dropna=False)["l_quantity"].agg(["sum", "count"]).reset_index()
+
     @F.pandas_udf("double")
-    def mean(x: pd.Series) -> float:
-        return float(x.mean())
+    def mean(s: pd.Series, n: pd.Series) -> float | None:
+        return float(s.sum() / n.sum()) if n.sum() else None
 
-    return t("lineitem").groupBy("l_returnflag").agg(mean("l_quantity").alias("m"))
+    sums = t("lineitem").select("l_returnflag", F.col("l_quantity").cast("double")).mapInPandas(partial, "l_returnflag string, sum double, count long")
+    return sums.groupBy("l_returnflag").agg(mean("sum", "count").alias("m"))
 
 
 @query("SELECT p_partkey, unnest(range(1, p_size % 4 + 1))::INTEGER AS n FROM part")
